@@ -188,7 +188,7 @@ lng AS (SELECT domain, lang, lcap, dget FROM (SELECT domain, lang, sum(cap) AS l
 lng2 AS {_sql_share("lng", "domain", "lang", _sql_weight("lang", LANGUAGE_WEIGHTS), "dget", "lcap", "lget")},
 lf AS (SELECT leaf.*, lget FROM leaf JOIN lng2 USING (domain, lang)),
 lf2 AS {_sql_share("lf", "domain, lang", "source", _sql_weight("source", SOURCE_WEIGHTS), "lget", "cap", "got")},
-budget AS (SELECT domain, lang, source, (floor(got + 1e-6) // tokens)::INT AS epochs, (floor(got + 1e-6) % tokens)::BIGINT AS rest FROM lf2),
+budget AS (SELECT domain, lang, source, floor(floor(got + 1e-6) / tokens)::INT AS epochs, (floor(got + 1e-6) % tokens)::BIGINT AS rest FROM lf2),
 keyed AS (SELECT t.*, epochs, rest, md5(concat('{SEED}', ':', epochs::VARCHAR, ':', coalesce(doc_id::VARCHAR, 'null'))) AS key
   FROM t JOIN budget USING (domain, lang, source)),
 runs AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE UNBOUNDED PRECEDING)
