@@ -113,3 +113,74 @@ def slices(offsets: np.ndarray, most: int):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+GOLD = 0x9E3779B97F4A7C15
+
+
+def _byte_classes() -> np.ndarray:
+    """0 for ASCII that isn't a letter or digit, lower case of ASCII letters, other bytes as they are."""
+    out = np.arange(256, dtype=np.uint8)
+    for i in range(128):
+        c = chr(i)
+        out[i] = ord(c.lower()) if c.isalnum() else 0
+    return out
+
+
+BYTE_CLASS = _byte_classes()
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U64(GOLD))
+_PLACE = mix(np.arange(1, 129, dtype=np.uint64) * U64(0xD1342543DE82EF95)) | U64(1)
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with case folded for ASCII and Latin-1, and 0 for ASCII that isn't a letter or digit."""
+    low = BYTE_CLASS[data]
+    if len(data) > 1:
+        upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        low[upper] += 0x20
+    return low
+
+
+class Words:
+    """Words of texts (bytes and row offsets): runs of letters and digits, all beyond ASCII counted as letters.
+
+    ``start`` and ``stop`` are byte positions in the data, ``row`` the text of each word."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        low = folded(data)
+        word = low != 0
+        starts = word.copy()
+        starts[1:] &= ~word[:-1]
+        bounds = offsets[:-1][(offsets[:-1] < len(data)) & (offsets[1:] > offsets[:-1])]
+        starts[bounds] = word[bounds]
+        self.start = np.flatnonzero(starts)
+        self.row = np.searchsorted(offsets, self.start, "right") - 1
+        inside = np.flatnonzero(word)
+        self.first = np.searchsorted(inside, self.start)
+        self.size = np.diff(np.append(self.first, len(inside)))
+        self.stop = self.start + self.size
+        place = np.arange(len(inside)) - np.repeat(self.first, self.size)
+        self._terms = _BYTE[low[inside]] * _PLACE[place & 127] + place.astype(np.uint64)
+
+    def hashes(self) -> np.ndarray:
+        """Hash of each word; case is ignored for ASCII and Latin-1."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        return mix(np.add.reduceat(self._terms, self.first))
+
+    def prefix_hashes(self, n: int) -> np.ndarray:
+        """Hash of the first ``n`` bytes of each word, of the whole word if it is shorter."""
+        sums = np.append(np.zeros(1, np.uint64), np.cumsum(self._terms))
+        return mix(sums[self.first + np.minimum(self.size, n)] - sums[self.first])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, and the row of each."""
+    words = Words(data, offsets)
+    return words.hashes(), words.row
+
+
+def hashed_words(texts: list[str]) -> np.ndarray:
+    """The hashes of texts that are one word each."""
+    data, offsets = utf8(pa.array(texts, pa.string()))
+    return word_hashes(data, offsets)[0]

@@ -14,50 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pick, slices, small, utf8, written
+from .common import GOLD as _GOLD
+from .common import U64, mix, pick, slices, small, utf8, word_hashes, written
 
 SHINGLE = 3
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.5
-_GOLD = 0x9E3779B97F4A7C15
-
-
-def _byte_classes() -> np.ndarray:
-    """0 for ASCII that isn't a letter or digit, lower case of ASCII letters, other bytes as they are."""
-    out = np.arange(256, dtype=np.uint8)
-    for i in range(128):
-        c = chr(i)
-        out[i] = ord(c.lower()) if c.isalnum() else 0
-    return out
-
-
-_CLASS = _byte_classes()
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U64(_GOLD))
-_PLACE = mix(np.arange(1, 129, dtype=np.uint64) * U64(0xD1342543DE82EF95)) | U64(1)
-
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts (bytes and row offsets), and the row of each. Words are runs of letters and digits,
-    all beyond ASCII counted as letters; case is ignored for ASCII and Latin-1."""
-    low = _CLASS[data]
-    if len(data) > 1:
-        upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-        low[upper] += 0x20
-    word = low != 0
-    starts = word.copy()
-    starts[1:] &= ~word[:-1]
-    bounds = offsets[:-1][(offsets[:-1] < len(data)) & (offsets[1:] > offsets[:-1])]
-    starts[bounds] = word[bounds]
-    at = np.flatnonzero(starts)
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = np.searchsorted(offsets, at, "right") - 1
-    inside = np.flatnonzero(word)
-    first = np.searchsorted(inside, at)
-    place = np.arange(len(inside)) - np.repeat(first, np.diff(np.append(first, len(inside))))
-    sums = np.add.reduceat(_BYTE[low[inside]] * _PLACE[place & 127] + place.astype(np.uint64), first)
-    return mix(sums), rows
+
 
 
 def weighted_shingles(words: np.ndarray, rows: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
