@@ -9,7 +9,7 @@ _GET = "coalesce(try_element_at({m}, {k}), 0D)"
 FUNCTIONS = {
     "vec_prune": (f"v {_V}", _V, "map_filter(v, (k, x) -> abs(x) >= 1e-10D)"),
     "vec_get": (f"v {_V}, key string", "double", "coalesce(try_element_at(v, key), 0D)"),
-    "vec_dot": (f"a {_V}, b {_V}", "double", "aggregate(array_sort(map_entries(a)), 0D, (s, e) -> s + e.value * coalesce(try_element_at(b, e.key), 0D))"),
+    "vec_dot": (f"a {_V}, b {_V}", "double", "aggregate(array_sort(map_entries(map_zip_with(a, b, (k, x, y) -> coalesce(x * y, 0D)))), 0D, (s, e) -> s + e.value)"),
     "vec_add_scaled": (
         f"a {_V}, b {_V}, s double", _V,
         "map_filter(map_zip_with(a, b, (k, x, y) -> coalesce(x, 0D) + s * coalesce(y, 0D)), (k, x) -> abs(x) >= 1e-10D)",

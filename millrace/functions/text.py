@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
 
@@ -109,20 +111,25 @@ def standard_filter(s) -> Column:
 def shingles(s, *sizes: int, short: bool = True) -> Column:
     """Character windows of each size, one size after another. A text shorter than a size yields itself (``short``) or
     nothing; an empty text yields nothing."""
-    s = _c(s)
-    parts = []
-    for n in sizes:
-        windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
-        least = F.lit(1 if short else n)
-        parts.append(F.when(F.length(s) >= least, windows).otherwise(F.array().cast("array<string>")))
-    return F.when(s.isNotNull(), F.concat(*parts))
+
+    def of_size(s: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
+
+    def windows(s: Column) -> Column:
+        parts = []
+        for n in sizes:
+            own = of_size(s, n)
+            parts.append(F.when(F.length(s) >= (1 if short else n), own).otherwise(F.array().cast("array<string>")))
+        return F.when(s.isNotNull(), F.concat(*parts))
+
+    return let(_c(s), windows)
 
 
 def tokens(s, separator: str = " ") -> Column:
     """Parts between separators (a regular expression), without the empty ones at the end."""
-    parts = F.split(_c(s), separator)
-    last = F.aggregate(F.transform(parts, lambda x, i: F.when(x != "", i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
-    return F.when(_c(s) == "", F.array(F.lit(""))).otherwise(F.slice(parts, F.lit(1), last))
+    last = lambda parts: F.aggregate(F.transform(parts, lambda x, i: F.when(x != "", i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+    cut = let(F.split(_c(s), separator), lambda parts: F.slice(parts, F.lit(1), last(parts)))
+    return F.when(_c(s) == "", F.array(F.lit(""))).otherwise(cut)
 
 
 def is_empty(s) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as X
+from .binding import let
 
 #: Short, common English words, lower case; other lists are passed as parameters.
 STOPWORDS = (
@@ -61,12 +62,13 @@ def size(t) -> Column:
 
 def intersect(a, b) -> Column:
     """Multiset intersection in the order of ``a``: each token as often as both have it."""
-    a, b = _c(a), _c(b)
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    kept = F.filter(
-        F.transform(a, lambda x, i: F.when(count(F.slice(a, F.lit(1), i + 1), x) <= count(b, x), x)), lambda x: x.isNotNull()
-    )
-    return kept
+
+    def kept(a: Column, b: Column) -> Column:
+        marked = F.transform(a, lambda x, i: F.when(count(F.slice(a, F.lit(1), i + 1), x) <= count(b, x), x))
+        return F.filter(marked, lambda x: x.isNotNull())
+
+    return let(_c(a), lambda x: let(_c(b), lambda y: kept(x, y)))
 
 
 def select(t, test: Callable[[Column], Column]) -> Column:
@@ -125,9 +127,12 @@ def each(t, f: Callable[[Column], Column]) -> Column:
 
 def ngrams(t, n: int, glue: str = " ", short: bool = True) -> Column:
     """Windows of ``n`` tokens. Fewer tokens than ``n`` yield one short window (``short``) or none."""
-    t = _c(t)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), glue))
-    return F.when(F.size(t) >= (1 if short else n), windows).when(t.isNotNull(), F.array().cast(_NONE))
+
+    def windows(t: Column) -> Column:
+        out = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), glue))
+        return F.when(F.size(t) >= (1 if short else n), out).when(t.isNotNull(), F.array().cast(_NONE))
+
+    return let(_c(t), windows)
 
 
 def unigrams_and_bigrams(t, glue: str = " ") -> Column:
@@ -145,29 +150,33 @@ def prepend(t, namespace: str) -> Column:
 
 def grams(t, sizes: list[int], separator: str = " ") -> Column:
     """For each token in turn, the grams of the given sizes that end with it."""
-    t = _c(t)
-    ending = lambda i: F.filter(
-        F.array(*[F.when(i + 1 >= n, F.array_join(F.slice(t, F.greatest(i + 2 - n, F.lit(1)), F.lit(n)), separator)) for n in sizes]),
-        lambda x: x.isNotNull(),
-    )
-    return F.flatten(F.transform(t, lambda _, i: ending(i)))
+
+    def ending(t: Column, i: Column) -> Column:
+        own = [F.when(i + 1 >= n, F.array_join(F.slice(t, F.greatest(i + 2 - n, F.lit(1)), F.lit(n)), separator)) for n in sizes]
+        return F.filter(F.array(*own), lambda x: x.isNotNull())
+
+    return let(_c(t), lambda t: F.flatten(F.transform(t, lambda _, i: ending(t, i))))
 
 
 def ngrams_up_to(s, n: int = 2, prefix: str = "") -> Column:
     """All 1- to ``n``-grams of a text's cleaned lower-case tokens between empty marks at both ends, joined by '::'."""
     words = F.split(X.standard_filter(F.lower(_c(s))), " ")
     padded = F.concat(F.array(F.lit("")), words, F.array(F.lit("")))
-    out = F.concat(*[ngrams(padded, m, "::") for m in range(1, n + 1)])
+    out = let(padded, lambda t: F.concat(*[ngrams(t, m, "::") for m in range(1, n + 1)]))
     return prepend(without_blank(out), prefix) if prefix else without_blank(out)
 
 
 def counts(t, weight: float = 1.0) -> Column:
     """Vector of the tokens, each weighing ``weight`` for every occurrence, in one pass over sorted runs."""
-    ordered = F.array_sort(_c(t))
-    starts = F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(ordered)))
-    entries = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("key"), ((b - a) * F.lit(float(weight))).alias("value")))
-    return F.map_from_entries(F.when(F.size(ordered) > 0, entries).otherwise(F.slice(entries, 1, 0)))
+    def runs(ordered: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(ordered)))
+        entries = F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("key"), ((b - a) * F.lit(float(weight))).alias("value")))
+        return F.map_from_entries(F.when(F.size(ordered) > 0, entries).otherwise(F.slice(entries, 1, 0)))
+
+    def starts(ordered: Column) -> Column:
+        return F.filter(F.transform(ordered, lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+
+    return let(F.array_sort(_c(t)), lambda o: let(starts(o), lambda s: runs(o, s)))
 
 
 def presence(t, weight: float = 1.0) -> Column:

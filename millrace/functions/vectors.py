@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 SMALL = 1e-10
 
 
@@ -35,7 +37,7 @@ def add_scaled(a: Column | str, b: Column | str, scale: Column | float = 1.0, fr
     coordinates of ``a`` that become zero stay with value 0."""
     a, b, s = _c(a), _c(b), _d(scale)
     if frozen:
-        return F.transform_values(a, lambda k, x: x + s * F.coalesce(F.try_element_at(b, k), F.lit(0.0)))
+        return let(b, lambda b: F.transform_values(a, lambda k, x: x + s * F.coalesce(F.try_element_at(b, k), F.lit(0.0))))
     return prune(F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0.0)) + s * F.coalesce(y, F.lit(0.0))))
 
 
@@ -65,14 +67,13 @@ def add_to_coordinate(v: Column | str, key: str, value: Column | float, frozen:
 
 def multiply_pointwise(a: Column | str, b: Column | str) -> Column:
     """Product over the keys of ``b``; keys that ``a`` lacks give 0."""
-    a = _c(a)
-    return F.transform_values(_c(b), lambda k, y: y * F.coalesce(F.try_element_at(a, k), F.lit(0.0)))
+    return let(_c(a), lambda a: F.transform_values(_c(b), lambda k, y: y * F.coalesce(F.try_element_at(a, k), F.lit(0.0))))
 
 
 def project(a: Column | str, b: Column | str) -> Column:
     """``a`` on the nonzero coordinates of ``b``."""
-    b = _c(b)
-    return F.map_filter(_c(a), lambda k, x: (F.abs(F.coalesce(F.try_element_at(b, k), F.lit(0.0))) >= SMALL) & (F.abs(x) >= SMALL))
+    kept = lambda b: F.map_filter(_c(a), lambda k, x: (F.abs(F.coalesce(F.try_element_at(b, k), F.lit(0.0))) >= SMALL) & (F.abs(x) >= SMALL))
+    return let(_c(b), kept)
 
 
 def size(v: Column | str) -> Column:
@@ -108,8 +109,9 @@ def _entries(v: Column) -> Column:
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
-    b = _c(b)
-    return F.aggregate(_entries(_c(a)), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
+    """Sum of products over shared keys: both maps' keys meet by hash, then are summed in their order."""
+    both = F.map_zip_with(_c(a), _c(b), lambda k, x, y: F.coalesce(x * y, F.lit(0.0)))
+    return F.aggregate(_entries(both), F.lit(0.0), lambda s, e: s + e["value"])
 
 
 def norm(v: Column | str, p: float = 2.0) -> Column:
@@ -134,8 +136,7 @@ def to_json(v: Column | str) -> Column:
 
 def inner_product(coefficients: Column | str, tokens: Column | str) -> Column:
     """Sum of the coefficients of tokens, each as often as it occurs."""
-    m = _c(coefficients)
-    return F.aggregate(_c(tokens), F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(m, t), F.lit(0.0)))
+    return let(_c(coefficients), lambda m: F.aggregate(_c(tokens), F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(m, t), F.lit(0.0))))
 
 
 def keys_by_value(v: Column | str, n: int | None = None, ascending: bool = False) -> Column:
@@ -148,8 +149,6 @@ def keys_by_value(v: Column | str, n: int | None = None, ascending: bool = False
 
 def l1_project(v: Column | str, radius: float = 1.0) -> Column:
     """Euclidean projection on the L1 ball: soft thresholds by the exact level (sorted magnitudes, no bisection)."""
-    v = _c(v)
-    mags = F.reverse(F.array_sort(F.transform(F.map_values(v), lambda x: F.abs(x))))
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("theta"))
 
     def step(s, u):
@@ -157,17 +156,19 @@ def l1_project(v: Column | str, radius: float = 1.0) -> Column:
         level = (total - radius) / n
         return F.struct(total.alias("sum"), n.alias("n"), F.when(u > level, level).otherwise(s["theta"]).alias("theta"))
 
-    theta = F.aggregate(mags, zero, step, lambda s: F.greatest(s["theta"], F.lit(0.0)))
-    inside = F.aggregate(mags, F.lit(0.0), lambda s, u: s + u) <= radius
-    shrunk = F.transform_values(v, lambda _, x: F.signum(x) * F.greatest(F.abs(x) - theta, F.lit(0.0)))
-    return F.when(inside, prune(v)).otherwise(prune(shrunk))
+    def projected(v: Column) -> Column:
+        mags = F.reverse(F.array_sort(F.transform(F.map_values(v), lambda x: F.abs(x))))
+        # where all of it is inside the ball, no level is positive
+        theta = F.aggregate(mags, zero, step, lambda s: F.when(s["sum"] <= radius, 0.0).otherwise(F.greatest(s["theta"], F.lit(0.0))))
+        return let(theta, lambda t: prune(F.transform_values(v, lambda _, x: F.signum(x) * F.greatest(F.abs(x) - t, F.lit(0.0)))))
+
+    return let(_c(v), projected)
 
 
 def decay(v: Column | str, touched: Column | str, now: Column | int, f) -> Column:
     """Catches coordinates up: ``f(value, start, end)`` between the tick each was last touched (map ``touched``) and ``now``."""
-    touched = _c(touched)
     now = now if isinstance(now, Column) else F.lit(now)
-    return prune(F.transform_values(_c(v), lambda k, x: f(x, F.coalesce(F.try_element_at(touched, k), now), now)))
+    return let(_c(touched), lambda m: prune(F.transform_values(_c(v), lambda k, x: f(x, F.coalesce(F.try_element_at(m, k), now), now))))
 
 
 def dense_dot(a: Column | str, b: Column | str) -> Column:
@@ -182,5 +183,4 @@ def dense_distance(a: Column | str, b: Column | str) -> Column:
 
 def dense_outer(a: Column | str, b: Column | str) -> Column:
     """Outer product of two arrays, as an array of rows."""
-    b = _c(b)
-    return F.transform(_c(a), lambda x: F.transform(b, lambda y: x * y))
+    return let(_c(b), lambda b: F.transform(_c(a), lambda x: F.transform(b, lambda y: x * y)))

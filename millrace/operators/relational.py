@@ -47,7 +47,7 @@ def folds(id: Column | str, n: int, salt: int = 0) -> Column:
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, id: str) -> DataFrame:
     """Inner join on ``key`` where a hot key of ``left`` is spread over ``salts`` tasks and ``right`` is replicated."""
     a = left.withColumn("salt", F.pmod(F.xxhash64(id), F.lit(salts)))
-    b = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    b = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return a.join(b, [key, "salt"]).drop("salt")
 
 

@@ -55,7 +55,7 @@ _docs("text_non_alpha", X.replace_non_alpha, _re("text", "[^a-zA-Z]+", " "))
 _docs("text_non_alnum", X.replace_non_alphanumeric, _re("text", "[^a-zA-Z0-9. \\t\\n\\x0B\\f\\r\\-]+", " "))
 _docs("text_non_alnum_underscore", X.replace_non_alphanumeric_underscore, _re("text", "[^a-zA-Z0-9. \\t\\n\\x0B\\f\\r\\-_]+", " "))
 _docs("text_collapse_runs", lambda s: X.collapse_periods(X.collapse_underscores(X.collapse_hyphens(s))), _re(_re(_re("text", "--+", "--"), "__+", "__"), "[.][.]+", ".."))
-_docs("text_case", lambda s: F.concat(F.substring(X.upper(s), 1, 20), X.lower(s)), "substring(upper(text), 1, 20) || lower(text)")
+_docs("text_case", lambda s: F.concat(X.upper("lang"), X.lower(s)), "upper(lang) || lower(text)")
 _docs("text_strip_punct", X.strip_punctuation, _re(_re("text", "^[^A-Za-z0-9]+"), "[^A-Za-z0-9]+$"))
 _docs("text_wsclean", X.wsclean, _wsclean("text"))
 _docs("text_strips", lambda s: X.rstrip(X.lstrip(X.collapse(s))), _re(_re(_re("text", f"{W}+", " "), f"^{W}+"), f"{W}+$"))
@@ -170,7 +170,7 @@ def seq_intersect(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id AS id, unnest AS feature, count(*)::DOUBLE AS value FROM (SELECT doc_id, unnest({_TOK}) FROM documents) GROUP BY ALL""")
+SELECT doc_id AS id, feature, count(*)::DOUBLE AS value FROM (SELECT doc_id, unnest({_TOK}) AS feature FROM documents) GROUP BY ALL""")
 def feat_term_counts(spark, sf_dir):
     return FT.term_counts(load(spark, sf_dir, "documents"), "doc_id", _tokens())
 

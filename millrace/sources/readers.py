@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.binding import let
+
 VECTOR = T.MapType(T.StringType(), T.DoubleType())
 MODEL = T.StructType([
     T.StructField("param", T.StructType([T.StructField("vector", VECTOR), T.StructField("freezeKeySet", T.BooleanType())])),
@@ -58,7 +60,9 @@ def parse_feature_line(line: Column | str) -> Column:
     empty = F.array().cast("array<struct<key:string,value:double>>")
 
     def features(section: Column) -> Column:
-        words = F.split(section, "\\s+")
+        return let(F.split(section, "\\s+"), of_words)
+
+    def of_words(words: Column) -> Column:
         first = F.get(words, F.lit(0))
         ns = F.when(first.rlike("^.+:.+$"), F.regexp_extract(first, "^(.+):(.+)$", 1)).otherwise(first)
 
@@ -83,9 +87,9 @@ def parse_feature_line(line: Column | str) -> Column:
 
 def merge_entries(entries: Column) -> Column:
     """Map of key-value structs whose values of equal keys add up."""
-    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    total = lambda k: F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0.0), lambda s, e: s + e["value"])
-    return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), total(k).alias("value"))))
+    names = lambda es: F.array_distinct(F.transform(es, lambda e: e["key"]))
+    total = lambda es, k: F.aggregate(F.filter(es, lambda e: e["key"] == k), F.lit(0.0), lambda s, e: s + e["value"])
+    return let(entries, lambda es: F.map_from_entries(F.transform(names(es), lambda k: F.struct(k.alias("key"), total(es, k).alias("value")))))
 
 
 def parse_mail_parts(parts: Column | str) -> Column:

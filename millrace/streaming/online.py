@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.maths import sigmoid
 from ..operators.trainers import TrainConfig, train
@@ -13,14 +14,22 @@ from ..sources.staging import BROADCAST_ROWS
 
 
 def score_stream(instances: DataFrame, model: DataFrame, model_type: str = "logistic_regression", *keep: str) -> DataFrame:
-    """Scores a (streaming) frame of instances statelessly: the model (feature, weight), of at most BROADCAST_ROWS rows,
-    becomes a map that every row is looked up in, so rows need no aggregation."""
+    """(id, keep..., margin, prediction) of a (streaming) frame of instances, statelessly: the model (feature, weight), of at
+    most BROADCAST_ROWS rows, is a table that each task looks rows up in, so rows need no aggregation."""
     if model.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         raise ValueError("the model is too large for a stream; threshold it first")
-    pairs = model.agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("w"))
-    held = instances.crossJoin(F.broadcast(pairs))
-    margin = F.aggregate(F.map_entries("features"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("w", e["key"]), F.lit(0.0)))
-    out = held.select("id", *keep, margin.alias("margin"))
+    held = instances.sparkSession.sparkContext.broadcast({r["feature"]: r["weight"] for r in model.select("feature", "weight").collect()})
+    rows = instances.select("id", *keep, F.map_keys("features").alias("names"), F.map_values("features").alias("values"))
+
+    def run(parts):
+        weights = held.value
+        for p in parts:
+            out = p[["id", *keep]].copy()
+            out["margin"] = [0.0 if n is None else float(sum(weights.get(f, 0.0) * v for f, v in zip(n, vs))) for n, vs in zip(p["names"], p["values"])]
+            yield out
+
+    schema = T.StructType([*[rows.schema[c] for c in ("id", *keep)], T.StructField("margin", T.DoubleType())])
+    out = rows.mapInPandas(run, schema)
     return out.withColumn("prediction", F.col("margin") if model_type == "least_squares" else sigmoid(F.col("margin")))
 
 
