@@ -11,6 +11,7 @@ from ..operators import features as FT
 from ..operators import linear as L
 from ..operators import select as S
 from ..operators import trainers as TR
+from ..sources.staging import written
 from .registry import load, query
 from .text_queries import _TOK
 
@@ -80,7 +81,7 @@ _W = "w AS (SELECT feature, round(0.1 * sum(value * (label - 0.5)) / any_value(n
 
 def _model(spark, sf_dir):
     m = L.batch_step(_long(spark, sf_dir), "logistic_regression")
-    return m.select("feature", F.round("weight", 12).alias("weight"))
+    return written(m.select("feature", F.round("weight", 12).alias("weight")))
 
 
 _SCORED = f"WITH {_D}, {_W}, s AS (SELECT id, label, sum(value * weight) AS m FROM d JOIN w USING (feature) GROUP BY ALL)"
@@ -165,13 +166,14 @@ m AS (SELECT id, p.label, class, sum(value * weight) AS m FROM p JOIN w USING (f
 def _centroid_model(spark, sf_dir):
     long = FT.long_form(_points(spark, sf_dir), "label")
     n = long.groupBy("label").agg(F.count_distinct("id").alias("n"))
-    return long.groupBy("label", "feature").agg(F.sum("value").alias("s")).join(F.broadcast(n), "label").select(F.col("label").alias("class"), "feature", F.round(F.col("s") / F.col("n"), 9).alias("weight"))
+    sums = long.groupBy("label", "feature").agg(F.sum("value").alias("s")).join(F.broadcast(n), "label")
+    return written(sums.select(F.col("label").alias("class"), "feature", F.round(F.col("s") / F.col("n"), 9).alias("weight")))
 
 
 def _scores(spark, sf_dir, kind):
     pts = _points(spark, sf_dir)
     s = L.score_multiclass(FT.long_form(pts), _centroid_model(spark, sf_dir), kind)
-    return pts.select("id", "label").join(s, "id").withColumn("score", F.round("score", 6))
+    return written(pts.select("id", "label").join(s, "id").withColumn("score", F.round("score", 6)))
 
 
 def _scored_sql(kind: str) -> str:
