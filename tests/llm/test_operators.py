@@ -437,7 +437,8 @@ def test_repeated_passages_are_found_despite_insertions(spark):
 
 
 def test_pipeline_stages(spark, tmp_path):
-    corpus = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as corpus
+
     rng = random.Random(16)
     rows = [(i, prose(rng, 80, [f"v{k}" for k in range(700)]), "en", f"src{i % 4}") for i in range(80)]
     rows += [(100 + i, rows[i][1], "en", "src1") for i in range(10)] + [(200 + i, rows[i][1] + " tail", "en", "src1") for i in range(10)] + [(300, None, None, None), (301, "", "en", "src1")]
