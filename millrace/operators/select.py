@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import written
+from ..sources.staging import small, written
 from . import evaluate, linear
 from .features import long_form
 from .relational import folds, split, union_all
@@ -145,17 +145,40 @@ def random_search(
         models.append((live, model))
     name = metric or ("MSE" if kind == "regression" else "Acc (avg)")
     sign = -1.0 if name in ("MSE", "MAE", "Brier") else 1.0
+    final = [m.where(F.col("trial").isin([t for t in live if configs[t].iters == i + 1])) for i, (live, m) in enumerate(models)]
+    if name in ("Acc (avg)", "MSE", "MAE"):
+        values = _trial_metrics(test, union_all(*final), configs, name, classes)
+    else:
+        values = {}
+        for t, c in enumerate(configs):
+            own = union_all(*final).where(F.col("trial") == t).drop("trial")
+            found = evaluate.STATISTICS[kind](predictions(test, own, c, classes)).where(F.col("stat") == name).first()
+            values[t] = None if found is None else found["value"]
     rows = []
-    for t, c in enumerate(configs):
-        last = [m for live, m in models if t in live][-1]
-        own = last.where(F.col("trial") == t).drop("trial")
-        stats = evaluate.STATISTICS[kind](predictions(test, own, c, classes)).where(F.col("stat") == name).first()
-        value = None if stats is None or stats["value"] is None else sign * stats["value"]
+    for t in range(len(configs)):
+        value = None if values.get(t) is None else sign * values[t]
         rows += [(t, k, str(v), space[k].bucket(v), value) for k, v in settings[t].items()]
     out = instances.sparkSession.createDataFrame(rows, "trial int, param string, setting string, bucket string, metric double")
     return out, search_report(out)
 
 
+def _trial_metrics(test: DataFrame, models: DataFrame, configs: list[TrainConfig], name: str, classes: list[str] | None) -> dict[int, float]:
+    """Metric of each trial, all trials in one job."""
+    keys = test.sparkSession.createDataFrame([(t, k) for t in range(len(configs)) for k in (classes or [""])], "trial int, class string")
+    hit = long_form(test).join(small(models), "feature").groupBy("id", "trial", "class").agg(F.sum(F.col("value") * F.col("weight")).alias("margin"))
+    grid = test.select("id", "label").crossJoin(F.broadcast(keys)).join(hit, ["id", "trial", "class"], "left").withColumn("margin", F.coalesce("margin", F.lit(0.0)))
+    if classes is not None:
+        best = grid.groupBy("id", "trial", "label").agg(F.min(F.struct((-F.col("margin")).alias("m"), "class"))["class"].alias("predicted"))
+        got = best.groupBy("trial").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("v"))
+    else:
+        plain = [t for t, c in enumerate(configs) if c.model == "least_squares"]
+        p = F.when(F.col("trial").isin(plain), F.col("margin")).otherwise(linear.response("logistic_regression", "margin"))
+        y = F.col("label").cast("double")
+        value = {"MSE": (p - y) * (p - y), "MAE": F.abs(p - y)}.get(name, (evaluate.hard_class(p) == F.floor(y)).cast("double"))
+        got = grid.groupBy("trial").agg(F.avg(value).alias("v"))
+    return {r["trial"]: r["v"] for r in got.collect()}
+
+
 def search_report(trials: DataFrame) -> DataFrame:
     """(param, bucket, mean, std, best, n) of trials: population deviation, largest metric."""
     return trials.groupBy("param", "bucket").agg(
