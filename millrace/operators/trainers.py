@@ -289,12 +289,14 @@ def train(instances: DataFrame, config: TrainConfig | None = None, model: DataFr
         rows = rows.where(F.col("label").isin(classes))
         for k, p in c.class_probs.items():
             rows = rows.where((F.col("label") != k) | (hash_unit("id", seed=c.seed) < float(p)))
-    n = _shards(c, rows.count())
     kinds = [""] if classes is None else list(classes)
-    held = rows.select(
-        F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), F.lit(1).alias("kind"), F.col("id").cast("string").alias("id"),
-        F.col("label").cast("string").alias("label"), F.map_keys("features").alias("names"), F.map_values("features").alias("values"),
-    )
+    # the features are worked out once, for the count and all passes
+    flat = written(rows.select(
+        F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"),
+        F.map_keys("features").alias("names"), F.map_values("features").alias("values"),
+    ))
+    n = _shards(c, flat.count())
+    held = flat.select(F.pmod("h", F.lit(n)).cast("int").alias("shard"), F.lit(1).alias("kind"), "id", "label", "names", "values")
     spark = instances.sparkSession
     for _ in range(c.iters):
         start, table, epochs = None, None, {}

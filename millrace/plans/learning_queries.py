@@ -30,7 +30,8 @@ def _docs(spark, sf_dir):
 
 
 def _long(spark, sf_dir):
-    return FT.long_form(_docs(spark, sf_dir), "label")
+    """Written once, as a step and its scores read it several times."""
+    return written(FT.long_form(_docs(spark, sf_dir), "label"))
 
 
 def _prices(spark, sf_dir):
@@ -79,8 +80,8 @@ _step("lsq_batch_step", _step_sql("2 * (0 - label)", "0.1", source=_R), "least_s
 _W = "w AS (SELECT feature, round(0.1 * sum(value * (label - 0.5)) / any_value(n), 12) AS weight FROM d, (SELECT count(DISTINCT id) AS n FROM d) GROUP BY feature)"
 
 
-def _model(spark, sf_dir):
-    m = L.batch_step(_long(spark, sf_dir), "logistic_regression")
+def _model(spark, sf_dir, long=None):
+    m = L.batch_step(long or _long(spark, sf_dir), "logistic_regression")
     return written(m.select("feature", F.round("weight", 12).alias("weight")))
 
 
@@ -92,12 +93,14 @@ g AS (SELECT feature, 0.1 * sum(value * -(2 * (label - 0.5)) / (1 + exp(2 * (lab
 o AS (SELECT feature, sign(weight * 0.998) * greatest(abs(weight * 0.998) - 0.0001, 0) AS w FROM w)
 SELECT feature, round(coalesce(w, 0) - coalesce(g, 0), 6) AS weight FROM o FULL JOIN g USING (feature) WHERE round(coalesce(w, 0) - coalesce(g, 0), 6) <> 0""")
 def lr_batch_step_l1l2(spark, sf_dir):
-    return _out(L.batch_step(_long(spark, sf_dir), "logistic_regression", model=_model(spark, sf_dir), rate=0.1, l1=0.001, l2=0.02))
+    long = _long(spark, sf_dir)
+    return _out(L.batch_step(long, "logistic_regression", model=_model(spark, sf_dir, long), rate=0.1, l1=0.001, l2=0.02))
 
 
 @query(f"{_SCORED} SELECT id, label, round(m, 6) AS margin, round(1 / (1 + exp(-m)), 6) AS prediction FROM s")
 def score_binary(spark, sf_dir):
-    s = L.score(_long(spark, sf_dir), _model(spark, sf_dir), "logistic_regression", "label")
+    long = _long(spark, sf_dir)
+    s = L.score(long, _model(spark, sf_dir, long), "logistic_regression", "label")
     return s.select("id", "label", F.round("margin", 6).alias("margin"), F.round("prediction", 6).alias("prediction"))
 
 
@@ -120,8 +123,8 @@ def eval_roc_curve(spark, sf_dir):
 @query(f"""WITH {_D}, {_W}, e AS (SELECT id, feature, value, weight, row_number() OVER (PARTITION BY id ORDER BY round(abs(value * weight), 9) DESC, feature)::INT AS rank
 FROM d JOIN w USING (feature) WHERE weight <> 0) SELECT id, rank, feature, value, round(weight, 6) AS weight FROM e WHERE rank <= 5""")
 def explain_topk(spark, sf_dir):
-    m = _model(spark, sf_dir)
     long = _long(spark, sf_dir)
+    m = _model(spark, sf_dir, long)
     rows = long.join(m, "feature").where("weight <> 0")
     from ..operators.relational import top_k
 
@@ -131,7 +134,8 @@ def explain_topk(spark, sf_dir):
 
 @query()
 def explain_predictions(spark, sf_dir):
-    return L.explain_text(L.explain(_long(spark, sf_dir), _model(spark, sf_dir), 5))
+    long = _long(spark, sf_dir)
+    return L.explain_text(L.explain(long, _model(spark, sf_dir, long), 5))
 
 
 @query(f"WITH {_D}, {_W} SELECT feature, round(weight, 6) AS weight FROM w WHERE abs(weight) >= 0.001")

@@ -22,5 +22,13 @@ def query(sql: str | None = None):
     return register
 
 
+#: Tables whose texts take long to work on.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table. Texts in fewer splits than there are cores, as in a small file of one row group, are spread over all;
+    large tables have more splits and are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if table in TEXTS and df.rdd.getNumPartitions() < cores else df

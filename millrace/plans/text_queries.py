@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import tokens as TK
 from ..operators import features as FT
+from ..sources.staging import written
 from .registry import load, query
 
 W = "[ \\t\\n\\x0B\\f\\r]"
@@ -207,7 +208,7 @@ def feat_ids(spark, sf_dir):
 WITH t AS (SELECT doc_id, unnest({_TOK}) AS feature FROM documents), c AS (SELECT doc_id AS id, feature, count(*)::DOUBLE AS value FROM t GROUP BY ALL)
 SELECT * FROM c WHERE feature IN (SELECT feature FROM c GROUP BY feature HAVING count(*) > 20)""")
 def feat_df_prune(spark, sf_dir):
-    return FT.keep_frequent(FT.term_counts(load(spark, sf_dir, "documents"), "doc_id", _tokens()), 20)
+    return FT.keep_frequent(written(FT.term_counts(load(spark, sf_dir, "documents"), "doc_id", _tokens())), 20)
 
 
 @query("""
