@@ -24,7 +24,15 @@ def replace_numbers(s, rep: str = "_num_") -> Column:
 
 
 def replace_html_escapes(s, rep: str = " ") -> Column:
-    return _r(s, "&[^;]+;", rep)
+    """``&...;`` becomes ``rep``. What follows the last ';' holds none and isn't searched, as each '&' there would be
+    compared with all the rest of the text."""
+
+    def replaced(s: Column) -> Column:
+        tail = F.instr(F.reverse(s), ";") - 1
+        end = F.length(s) - tail
+        return F.when(tail < 0, s).otherwise(F.concat(_r(F.substring(s, F.lit(1), end), "&[^;]+;", rep), F.substring(s, end + 1, tail)))
+
+    return let(_c(s), replaced)
 
 
 def remove_html_tags(s) -> Column:
