@@ -120,20 +120,28 @@ def sign_texts(docs: DataFrame) -> DataFrame:
 def _verify(buckets: DataFrame, threshold: float) -> DataFrame:
     """Verified pairs (a, b) inside buckets: rows (bucket, id, sign), in any order.
 
-    In each bucket the first document that is left takes all that are similar to it, until none is left; so a bucket of
-    one group takes one pass however large it is, and nothing is capped. Buckets are streamed in sorted partitions.
+    In each bucket the first document that is left takes all that are similar to it, and each taken one those that are
+    left, until none is similar to any taken one; so the pairs connect what all verified pairs of the bucket connect. A
+    bucket of like documents takes one pass however large it is, and nothing is capped. Buckets are streamed in sorted
+    partitions.
     """
 
     def pairs(ids: np.ndarray, signs: list[bytes], out_a: list, out_b: list) -> None:
         sign = np.frombuffer(b"".join(signs), "<u2").reshape(len(signs), -1)
-        left = np.arange(len(ids))
-        while len(left) > 1:
-            lead, rest = left[0], left[1:]
-            like = (sign[rest] == sign[lead]).mean(axis=1) >= threshold
-            hit = rest[like]
-            out_a.append(np.full(len(hit), ids[lead]))
-            out_b.append(ids[hit])
-            left = rest[~like]
+        left, rest = np.arange(1, len(ids)), sign[1:]
+        reached = [0]
+        while len(left):
+            if not reached:
+                reached, left, rest = [left[0]], left[1:], rest[1:]
+                continue
+            lead = reached.pop()
+            like = (rest == sign[lead]).mean(axis=1) >= threshold
+            if like.any():
+                hit = left[like]
+                out_a.append(np.full(len(hit), ids[lead]))
+                out_b.append(ids[hit])
+                reached += hit.tolist()
+                left, rest = left[~like], rest[~like]
 
     def run(batches):
         held_bucket, held_ids, held_signs = None, [], []

@@ -256,6 +256,37 @@ def test_near_duplicates_recall(spark):
     assert kept.count() == len(rows) - len(got)
 
 
+def roots(pairs):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        ra, rb = root(a), root(b)
+        up[max(ra, rb)] = min(ra, rb)
+    return {x: root(x) for x in up}
+
+
+def test_buckets_connect_what_all_verified_pairs_connect(spark):
+    rng = np.random.default_rng(17)
+    rows, want = [], []
+    for bucket in range(20):
+        signs, first = [rng.integers(0, 1 << 16, 150).astype("<u2")], bucket * 100
+        for k in range(1, 60):  # even buckets: a chain of edits; odd ones: copies around the original, about the threshold
+            other = (signs[-1] if bucket % 2 == 0 else signs[0]).copy()
+            at = rng.choice(150, 30 if bucket % 2 == 0 else rng.integers(35, 90), replace=False)
+            other[at] = rng.integers(0, 1 << 16, len(at))
+            signs.append(other)
+        rows += [(bucket, first + k, bytearray(s.tobytes())) for k, s in enumerate(signs)]
+        want += [(first + i, first + j) for i in range(60) for j in range(i) if (signs[i] == signs[j]).mean() >= 0.5]
+    pairs = prob_minhash._verify(spark.createDataFrame(rows, "bucket long, id long, sign binary"), 0.5).collect()
+    assert {(max(p), min(p)) for p in pairs} <= set(want)
+    assert roots(pairs) == roots(want)
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(7)
     pairs = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
