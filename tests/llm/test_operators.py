@@ -256,6 +256,23 @@ def test_near_duplicates_recall(spark):
     assert kept.count() == len(rows) - len(got)
 
 
+def test_near_duplicates_recall_from_the_threshold_upward(spark):
+    rng = random.Random(18)
+    texts = []
+    for _ in range(400):
+        words = prose(rng, 120, [f"w{k}x" for k in range(900)]).split()
+        other = list(words)
+        for k in rng.sample(range(120), rng.randint(8, 14)):
+            other[k] = f"edited{rng.randint(0, 99)}"
+        texts += [" ".join(words), " ".join(other)]
+    sign = prob_minhash.signatures(*prob_minhash.weighted_shingles(*prob_minhash.word_hashes(*utf8(pa.array(texts)))), len(texts))
+    alike = (sign[::2] == sign[1::2]).mean(1)
+    got = {(r["doc_id"], r["duplicate_of"]) for r in prob_minhash.near_duplicates(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    for low, high in ((0.5, 0.55), (0.55, 0.6)):
+        want = {(2 * k + 1, 2 * k) for k in np.flatnonzero((alike >= low) & (alike < high)).tolist()}
+        assert len(want) > 40 and len(want & got) >= 0.9 * len(want)
+
+
 def roots(pairs):
     up = {}
 
