@@ -481,6 +481,15 @@ def test_repeated_passages_are_found_despite_insertions(spark):
             assert at - 300 <= r["start"] and r["stop"] <= at + len(passages[i % 20]) + 300
 
 
+def test_passages_just_over_50_words_are_found(spark):
+    rng = random.Random(19)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ri") for b in ("dar", "fen", "gol", "hib", "jun", "tax", "vel", "wem")]
+    passages = [prose(rng, 51, vocabulary) for _ in range(300)]
+    rows = [(i, f"{prose(rng, rng.randint(3, 60), vocabulary)} {passages[i % 300]} {prose(rng, rng.randint(3, 60), vocabulary)}", "en", "a") for i in range(600)]
+    got = {r["doc_id"] for r in chunk_dedup.repeated_spans(table(spark, rows)).collect()}
+    assert not got & set(range(300)) and len(got) >= 0.98 * 300
+
+
 # the pipeline
 
 
