@@ -13,8 +13,9 @@ from millrace.llm.common import load, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that too many documents of a source share; documents that are depleted by it go."""
-    kept = line_quality.line_quality(docs, extra=["lang"])
+    """Removes lines that too many documents of a source share; documents that are depleted by it go. Families of near copies
+    count once, so that ``near`` can keep one document of each."""
+    kept = line_quality.line_quality(docs, extra=["lang"], families=True)
     return kept.select("doc_id", "text", F.col("lang"), "source", "n_chars")
 
 

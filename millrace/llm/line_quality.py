@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, small, written
+from .prob_minhash import near_duplicates
 
 MAX_DOCS = 20
 MIN_KEPT = 0.3
@@ -39,14 +40,41 @@ def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     )
 
 
+def without_families(rows: DataFrame, bad: DataFrame, max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
+    """Of the frequent lines ``bad``, those that are frequent even if a family of near copies counts once.
+
+    Only texts that would be rejected for these lines are put into families: of the others enough stays that is their own.
+    """
+    spots = rows.where("text IS NOT NULL").select(
+        F.col("host").alias("h"), F.xxhash64("text").alias("t"), (F.length("text") - F.size(F.split("text", "\n", -1)) + 1).alias("n_all"),
+        F.posexplode(F.arrays_zip(_hashes(F.col("text")).alias("hash"), F.transform(F.split("text", "\n", -1), F.length).alias("size"))).alias("at", "l"),
+    )
+    held = written(
+        spots.join(small(bad), spots["h"].eqNullSafe(bad["host"]) & (F.col("l.hash") == bad["line"]))
+        .select("h", "t", "n_all", "at", "line", F.col("l.size").alias("size")).distinct()
+    )
+    gone = held.groupBy("h", "t", "n_all").agg(F.sum("size").alias("gone"))
+    depleted = written(gone.where((F.col("n_all") - F.col("gone") < min_kept * F.col("n_all")) | (F.col("n_all") <= F.col("gone"))).select(F.col("t").alias("key")).distinct())
+    texts = rows.select(F.xxhash64("text").alias("doc_id"), "text").join(small(depleted), F.col("doc_id") == F.col("key"), "left_semi")
+    family = written(near_duplicates(texts.dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("member"), F.col("duplicate_of").alias("family")))
+    counted = held.join(small(family), F.col("t") == F.col("member"), "left").withColumn("one", F.coalesce("family", "t"))
+    return (
+        counted.groupBy(F.col("h").alias("host"), "line")
+        .agg(F.countDistinct("one").alias("docs"))
+        .where(F.col("docs") > max_docs)
+        .select("host", "line")
+    )
+
+
 def line_quality(
     docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source",
-    max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, extra: list[str] | None = None,
+    max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, extra: list[str] | None = None, families: bool = False,
 ) -> DataFrame:
     """Kept documents: (doc_id, source: the host, text without frequent lines, n_lines, n_removed, n_chars).
 
     A document counts once for a line however often it repeats it, and exact copies of a text count as one document of
-    their host (copies are the business of deduplication). A document is rejected if fewer than ``min_kept`` of its
+    their host (copies are the business of deduplication); with ``families``, near copies that would be rejected for
+    their lines count as one document, too, so that a family doesn't vanish for lines that only it has. A document is rejected if fewer than ``min_kept`` of its
     line characters (line ends aside) are left, or if nothing but white space is left; so null, empty and blank texts
     go. A null host is a host of its own; rows with null or repeated ids are each judged by their own text, and equal
     rows give equal results. An empty table gives an empty result; of other columns only those in ``extra`` are kept, at the end.
@@ -54,6 +82,8 @@ def line_quality(
     more = extra or []
     rows = pick(docs, id=id, text=text, host=host, **{f"extra{i}": c for i, c in enumerate(more)})
     bad = written(frequent_lines(rows, max_docs))
+    if families:
+        bad = written(without_families(rows, bad, max_docs, min_kept))
     held = rows.where("text IS NOT NULL").select(
         "id", "host", F.explode(F.array_distinct(_hashes(F.col("text")))).alias("line")
     )

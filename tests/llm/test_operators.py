@@ -511,3 +511,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept[2] == set(range(80)) and kept[3] <= kept[2]
     out = corpus.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == kept[3] and out.where("NOT round_trip").count() == 0
+
+
+def test_one_document_of_a_large_family_survives_the_pipeline(spark):
+    import corpus_pipeline as corpus
+
+    rng = random.Random(20)
+    words = [f"v{k}" for k in range(700)]
+    original = [prose(rng, 12, words) for _ in range(10)]
+    rows = []
+    for i in range(60):  # one line changed in each copy
+        lines = list(original)
+        lines[i % 10] = prose(rng, 12, words)
+        rows.append((i, "\n".join(lines), "en", "hot"))
+    footer = "All rights reserved by the owners of this site"
+    rows += [(100 + i, f"{prose(rng, 40, words)}\n{footer}", "en", "hot") for i in range(30)] + [(200, footer, "en", "hot")]
+    docs, kept = table(spark, rows), []
+    for name, stage in corpus.STAGES[:3]:
+        docs = stage(spark, docs, "")
+        kept.append({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert set(kept[0]) == set(range(60)) | set(range(100, 130)) and not any(footer in t for t in kept[0].values())
+    assert set(kept[2]) == {0} | set(range(100, 130)) and kept[2][0] == rows[0][1]
