@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dense_distance
-from ..sources.staging import written
+from ..sources.staging import small, written
 from .relational import hash_unit
 
 NEIGHBOURS = "id long, neighbor_id long, distance double"
@@ -112,24 +112,46 @@ def _between(targets: DataFrame, candidates: DataFrame, keys: list[str], k: int,
     return targets.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(run, NEIGHBOURS)
 
 
-def _fitting(bins: DataFrame, most: int | None) -> DataFrame:
-    """Bins of at most ``most`` points."""
+def _parts(bins: DataFrame, most: int, name: str) -> DataFrame:
+    """(bin, name): the number of parts of about ``most`` points of each bin."""
+    return bins.groupBy("bin").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+
+
+def _grid(targets: DataFrame, candidates: DataFrame, shape: DataFrame, k: int, distance: Callable) -> DataFrame:
+    """Each part of a bin's targets against each part of its candidates: ``shape`` has (bin, rows, columns) of each."""
+    shape = small(written(shape))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = targets.join(shape, "bin").select("bin", "id", "vec", part("rows").alias("row"), every("columns").alias("column"))
+    own = [F.col(c).alias(c) for c in ("bin", "id", "vec")]  # both sides may be the same table
+    b = candidates.join(shape, "bin").select(*own, every("rows").alias("row"), part("columns").alias("column"))
+    return _between(a, b, ["bin", "row", "column"], k, distance)
+
+
+def _whole(bins: DataFrame, most: int | None, k: int, distance: Callable = euclidean) -> DataFrame:
+    """Neighbours within bins; those of more than ``most`` points are compared part by part."""
     if most is None:
-        return bins
-    ok = bins.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("bin")
-    return bins.join(ok, "bin", "left_semi")
+        return _within(bins, k, distance)
+    crowded = written(_parts(bins, most, "rows").where("rows > 1"))
+    if crowded.isEmpty():
+        return _within(bins, k, distance)
+    rest = bins.join(crowded, "bin", "left_anti")
+    return _within(rest, k, distance).unionByName(_grid(bins, bins, crowded.withColumn("columns", F.col("rows")), k, distance))
 
 
 def lsh_knn(rows: DataFrame, k: int, hashes: int = 50, bits: int = 12, max_bin: int | None = 10_000, seed: int = 0, id: str = "id", vec: str = "vec") -> DataFrame:
     """Approximate neighbours within a table: exact ones of each bin of sign projections, merged over the tables. Bins of more
-    than ``max_bin`` points are left out (None: none is)."""
-    return merge(_within(_fitting(written(lsh_codes(rows, hashes, bits, seed, id, vec)), max_bin), k), k)
+    than ``max_bin`` points are compared part by part (None: none is cut), which is quadratic in their points."""
+    return merge(_whole(written(lsh_codes(rows, hashes, bits, seed, id, vec)), max_bin, k), k)
 
 
 def lsh_knn2(targets: DataFrame, candidates: DataFrame, k: int, hashes: int = 50, bits: int = 12, max_bin: int | None = 10_000, seed: int = 0, id: str = "id", vec: str = "vec") -> DataFrame:
-    """Neighbours of targets among candidates; targets that share no bin with any have none."""
-    t, c = lsh_codes(targets, hashes, bits, seed, id, vec), _fitting(written(lsh_codes(candidates, hashes, bits, seed, id, vec)), max_bin)
-    return merge(_between(t, c, ["bin"], k, euclidean), k)
+    """Neighbours of targets among candidates; targets that share no bin with any have none. Parts of about ``max_bin``
+    targets and candidates of a bin are compared at a time (None: none is cut)."""
+    t, c = written(lsh_codes(targets, hashes, bits, seed, id, vec)), written(lsh_codes(candidates, hashes, bits, seed, id, vec))
+    if max_bin is None:
+        return merge(_between(t, c, ["bin"], k, euclidean), k)
+    return merge(_grid(t, c, _parts(t, max_bin, "rows").join(_parts(c, max_bin, "columns"), "bin"), k, euclidean), k)
 
 
 def choose_centers(rows: DataFrame, n: int, seed: int = 0) -> list[tuple[int, list[float]]]:
@@ -171,11 +193,11 @@ def pivot_knn(
     id: str = "id", vec: str = "vec",
 ) -> DataFrame:
     """Neighbours by any distance of matrices: exact ones in the bins of pivots (the square root of the rows, 10,000 at
-    most), merged. Bins that stay larger than ``max_bin`` are left out."""
+    most), merged. Bins that stay larger than ``max_bin`` are compared part by part."""
     held = written(_clean(rows, id, vec))
     n = centers or max(1, min(10_000, math.isqrt(held.count())))
     pivots = initialize_bins(held, n, per_point, max_bin, distance, seed)
-    return merge(_within(_fitting(written(assign_bins(held, pivots, per_point, distance)), max_bin), k, distance), k)
+    return merge(_whole(written(assign_bins(held, pivots, per_point, distance)), max_bin, k, distance), k)
 
 
 def pivot_knn2(

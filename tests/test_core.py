@@ -192,6 +192,18 @@ def test_neighbours_recall(spark):
     assert knn.as_lists(knn.exact(a, b, 3)).count() == 50
 
 
+def test_crowded_bins_are_compared_whole(spark):
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.standard_normal((60, 4)), np.ones((60, 4))])  # half of them equal
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    pairs = lambda df: sorted((r["id"], r["rank"], r["neighbor_id"]) for r in df.collect())
+    whole = pairs(knn.lsh_knn(rows, 5, hashes=6, bits=2, max_bin=None))
+    assert len(whole) == 600 and pairs(knn.lsh_knn(rows, 5, hashes=6, bits=2, max_bin=7)) == whole
+    assert pairs(knn.lsh_knn2(rows, rows, 5, hashes=6, bits=2, max_bin=7)) == whole
+    got = pairs(knn.pivot_knn(rows, 5, centers=2, per_point=8, max_bin=7))
+    assert {i for i, _, _ in got} == set(range(120))
+
+
 def test_factorizations(spark):
     rng = np.random.default_rng(3)
     a = rng.random((30, 4)) @ rng.random((4, 20))
