@@ -42,7 +42,7 @@ def knn_lsh(spark, sf_dir):
 @query()
 def knn_lsh_two_set(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    return K.lsh_knn2(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 3, hashes=50, bits=6)
+    return K.lsh_knn2(v, v, 3, hashes=50, bits=6)
 
 
 @query()
@@ -53,7 +53,7 @@ def knn_pivot_cosine(spark, sf_dir):
 @query()
 def knn_pivot_two_set(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    return K.pivot_knn2(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 3)
+    return K.pivot_knn2(v, v, 3)
 
 
 _M = "m AS (SELECT user_id AS row, event_type AS col, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"

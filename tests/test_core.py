@@ -204,6 +204,14 @@ def test_crowded_bins_are_compared_whole(spark):
     assert {i for i, _, _ in got} == set(range(120))
 
 
+@pytest.mark.parametrize("name", ["knn_lsh_two_set", "knn_pivot_two_set"])
+def test_two_set_searches_take_the_whole_table_on_both_sides(spark, name):
+    from millrace.plans import QUERIES
+
+    found = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert {r["id"] % 2 for r in found} == {r["neighbor_id"] % 2 for r in found} == {0, 1}
+
+
 def test_factorizations(spark):
     rng = np.random.default_rng(3)
     a = rng.random((30, 4)) @ rng.random((4, 20))
