@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -13,22 +14,45 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a local folder that is then set."""
+    """``spark.checkpoint.dir``. Where it is unset, a local folder that is then set, if all tasks run on this machine;
+    else ValueError, as each executor would write to a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_staged: list[tuple[object, object]] = []
+
+
+def _clear() -> None:
+    for fs, path in _staged:
+        try:
+            fs.delete(path, True)
+        except Exception:  # the JVM may be gone at exit
+            return
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts its lineage."""
+    """``df`` written to the shared folder and read again: cuts its lineage and outlives the loss of any executor.
+
+    Tables go when the driver's Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _staged:
+        atexit.register(_clear)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _staged.append((jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows; ``df`` must be cheap to count."""
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` (BROADCAST_ROWS) rows; ``df`` must be cheap to count."""
+    most = BROADCAST_ROWS if most is None else most
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
