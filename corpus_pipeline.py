@@ -30,8 +30,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights select, once for each epoch."""
-    return mixing.mix_documents(docs)
+    """The documents that the target weights select, once for each epoch; the one in which a leaf's budget ends is cut there.
+    Documents without a word go."""
+    return mixing.mix_documents(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,15 +1,14 @@
-"""Shared helpers of the training-data operators: column picking, tables in the shared folder, Arrow buffers."""
+"""Shared helpers of the training-data operators: column picking, checked broadcasts, Arrow buffers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.staging import written  # noqa: F401
 
 U64 = np.uint64
 #: Rows up to which a table of narrow rows (ids, digests) is broadcast; beyond it the join shuffles.
@@ -24,61 +23,37 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     """``pick(df, id="doc_id")``: exactly these columns under these names, whatever else ``df`` holds.
 
     Other columns can't clash with internal names, as they are gone before any internal name is made. A column is
-    found by its exact name, else by its name in another case; a missing one raises ``KeyError``.
+    found by its exact name, else by its name in another case; a missing one raises ``KeyError``. What is picked as
+    ``id`` or ``doc_id`` must be whole numbers and comes as bigint; another type raises ``TypeError``.
     """
-    have = df.columns
-    fold = [c.lower() for c in have]
-    plain = df.toDF(*[f"in{i}" for i in range(len(have))])
+    plain = df.toDF(*[f"in{i}" for i in range(len(df.columns))])
     out = []
     for new, old in columns.items():
-        if old in have:
-            at = have.index(old)
-        elif old.lower() in fold:
-            at = fold.index(old.lower())
-        else:
-            raise KeyError(old)
-        out.append(plain[f"in{at}"].alias(new))
+        at = position(df, old)
+        column = plain[f"in{at}"]
+        if new in ("id", "doc_id"):
+            kind = df.schema.fields[at].dataType
+            if not isinstance(kind, (T.IntegralType, T.NullType)):
+                raise TypeError(f"ids must be whole numbers, but {old} is {kind.simpleString()}")
+            column = column.cast("bigint")
+        out.append(column.alias(new))
     return plain.select(*out)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); where it is unset, as in tests, a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-_staged: list[tuple[object, object]] = []
-
-
-def _clear() -> None:
-    for fs, path in _staged:
-        try:
-            fs.delete(path, True)
-        except Exception:  # the JVM may be gone at exit
-            return
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table of the shared folder: cuts the lineage and outlives the loss of any executor.
-
-    Tables go when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _staged:
-        atexit.register(_clear)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _staged.append((jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath))
-    return spark.read.schema(df.schema).parquet(path)
+def position(df: DataFrame, name: str) -> int:
+    """Place of a column, by its exact name or else by its name in another case."""
+    have = df.columns
+    if name in have:
+        return have.index(name)
+    fold = [c.lower() for c in have]
+    if name.lower() in fold:
+        return fold.index(name.lower())
+    raise KeyError(name)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows; ``df`` must be cheap to count."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, small, written
+from .common import pick, position, small, written
 
 #: Weights of the tree's nodes; a node that isn't named weighs 1. Domains are the source's number modulo 4.
 DOMAIN_WEIGHTS = {"0": 4.0, "1": 3.0, "2": 2.0, "3": 1.0}
@@ -45,7 +45,8 @@ def share(nodes: DataFrame, parents: list[str], key: str, weight: Column, budget
     """Adds ``out``: each node's part of its parent's ``budget``, in proportion to weights but at most ``cap``.
 
     The level up to which all siblings are filled is the largest of (budget less the caps of those that fill up sooner)
-    over (weights of the rest), in the order of cap over weight. Nodes of weight 0 get nothing.
+    over (weights of the rest), in the order of cap over weight; nodes with the same ratio fill up together, whatever
+    their order. Nodes of weight 0 get nothing.
     """
     w = weight.cast("double")
     by = Window.partitionBy(*parents).orderBy(F.col("ratio").asc_nulls_last(), key)
@@ -64,14 +65,19 @@ def leaf_budgets(
     domain_weights: dict = DOMAIN_WEIGHTS, language_weights: dict = LANGUAGE_WEIGHTS, source_weights: dict = SOURCE_WEIGHTS,
 ) -> DataFrame:
     """(domain, lang, source, tokens, epochs, rest) of ``leaves`` (domain, lang, source, tokens): whole epochs and the
-    tokens of the partial one. Its size is that of the tree; the windows hold one row for each leaf."""
-    leaf = leaves.withColumn("cap", F.col("tokens").cast("double") * max_epochs)
-    leaf = leaf.withColumn("lcap", F.sum("cap").over(Window.partitionBy("domain", "lang")))
-    domains = leaf.groupBy("domain").agg(F.sum("cap").alias("dcap"), F.sum("tokens").alias("dtokens"))
+    tokens of the partial one. Its size is that of the tree; the windows hold one row for each leaf. What a node of
+    weight 0 or less holds counts for none of its ancestors' caps, so its share goes to siblings that can use it."""
+    open_to = lambda column, weights, cap: F.when(_weight(column, weights) > 0, cap).otherwise(0.0)
+    leaf = leaves.withColumn("cap", open_to("source", source_weights, F.col("tokens").cast("double") * max_epochs))
+    lcap = open_to("lang", language_weights, F.sum("cap").over(Window.partitionBy("domain", "lang")))
+    leaf = leaf.withColumn("lcap", lcap)
+    langs = leaf.groupBy("domain", "lang").agg(F.first("lcap").alias("lcap"), F.sum("tokens").alias("ltokens"))
+    domains = langs.groupBy("domain").agg(F.sum("lcap").alias("dcap"), F.sum("ltokens").alias("dtokens"))
+    domains = domains.withColumn("dcap", open_to("domain", domain_weights, F.col("dcap")))
     total = Window.partitionBy(F.lit(1))
     domains = domains.withColumn("want", F.least(F.sum("dcap").over(total), F.sum("dtokens").over(total) * float(budget)))
     domains = share(domains.withColumn("root", F.lit(1)), ["root"], "domain", _weight("domain", domain_weights), "want", "dcap", "dget")
-    langs = leaf.select("domain", "lang", "lcap").distinct().join(domains.select("domain", "dget"), "domain")
+    langs = langs.join(domains.select("domain", "dget"), "domain")
     langs = share(langs, ["domain"], "lang", _weight("lang", language_weights), "dget", "lcap", "lget")
     leaf = leaf.join(langs.select("domain", "lang", "lget"), ["domain", "lang"])
     leaf = share(leaf, ["domain", "lang"], "source", _weight("source", source_weights), "lget", "cap", "get")
@@ -146,19 +152,38 @@ def mixture(
 def mix_documents(
     docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", seed: int = SEED, **options
 ) -> DataFrame:
-    """``docs`` as the mixture has them: all columns, a row for each epoch that takes it; the last document of a prefix
-    stays whole. Texts aren't shuffled: each row is compared with the plan of its leaf."""
+    """``docs`` as the mixture has them: all columns, a row for each epoch that takes it.
+
+    Where the prefix of a leaf's last epoch ends inside a document, its text ends after as many words as the budget has
+    left. Texts aren't shuffled: each row is compared with the plan of its leaf. Rows with the same id share a place in
+    the order, and a cut at that place cuts each of them; documents without a word (null or blank texts) never appear.
+    A null language or source is a leaf of its own, and stays null in the result. An empty table gives an empty result.
+    """
     steps = plan(written(_leaf_columns(docs, text, id, lang, source)), seed, **options)
-    names, fold = docs.columns, [c.lower() for c in docs.columns]
-    at = {k: F.col(f"in{names.index(c) if c in names else fold.index(c.lower())}") for k, c in (("id", id), ("text", text), ("lang", lang), ("source", source))}
+    names = docs.columns
+    at = {k: F.col(f"in{position(docs, c)}") for k, c in (("id", id), ("text", text), ("lang", lang), ("source", source))}
     plain = docs.toDF(*[f"in{i}" for i in range(len(names))])
     plain = plain.withColumn("domain", source_domain(at["source"])).withColumn("lang", F.coalesce(at["lang"], F.lit("(null)")))
     plain = plain.withColumn("source", F.coalesce(at["source"], F.lit("(null)"))).where(at["text"].rlike("[^ \\t\\r\\n]"))
-    taken = plain.join(small(steps), list(LEVELS)).withColumn("key", _order(at["id"], F.col("epochs"), seed))
-    times = F.col("epochs") + F.coalesce(F.col("key") <= F.col("last"), F.lit(False)).cast("int")
-    return taken.withColumn("n", times).where("n > 0").select(
-        *[f"in{i}" for i in range(len(names))], F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")
-    ).drop("copy").toDF(*names)
+    taken = plain.join(small(steps), list(LEVELS)).withColumn("key", _order(at["id"].cast("bigint"), F.col("epochs"), seed))
+    part = F.coalesce(F.col("key") <= F.col("last"), F.lit(False))
+    taken = taken.withColumn("n", F.col("epochs") + part.cast("int")).where("n > 0").withColumn(
+        "cut", F.when(part & (F.col("key") == F.col("last")), F.col("last_take"))
+    )
+    taken = taken.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    ends = F.col("cut").isNotNull() & (F.col("copy") == F.col("n"))
+    cut = F.when(ends, first_words(at["text"], F.col("cut"))).otherwise(at["text"])
+    place = position(docs, text)
+    return taken.select(*[cut.alias(f"in{i}") if i == place else F.col(f"in{i}") for i in range(len(names))]).toDF(*names)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word, whole if it has no more words."""
+    lead = text.rlike("^[ \\t\\r\\n]").cast("bigint")
+    parts = F.split(text, "[ \\t\\r\\n]+", (F.least(n, F.lit(1 << 30)) + lead + 1).cast("int"))
+    more = F.size(parts) > n + lead
+    kept = F.substring(text, F.lit(1), F.length(text) - F.length(F.element_at(parts, -1)))
+    return F.when(more, F.regexp_replace(kept, "[ \\t\\r\\n]+$", "")).otherwise(text)
 
 
 def _sql_weight(column: str, weights: dict[str, float]) -> str:
@@ -166,11 +191,11 @@ def _sql_weight(column: str, weights: dict[str, float]) -> str:
 
 
 def _sql_share(nodes: str, parent: str, key: str, weight: str, budget: str, cap: str, out: str) -> str:
-    return f"""(SELECT * EXCLUDE (w, lv), least({cap}, max(lv) OVER (PARTITION BY {parent}) * w) AS {out} FROM (
-      SELECT *, ({budget} - (sum({cap}) OVER up - {cap})) / sum(w) OVER down AS lv
-      FROM (SELECT *, {weight} AS w FROM {nodes})
-      WINDOW up AS (PARTITION BY {parent} ORDER BY {cap} / w, {key} ROWS UNBOUNDED PRECEDING),
-        down AS (PARTITION BY {parent} ORDER BY {cap} / w, {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"""
+    return f"""(SELECT * EXCLUDE (w, lv), coalesce(least({cap}, max(lv) OVER (PARTITION BY {parent}) * w), 0) AS {out} FROM (
+      SELECT *, ({budget} - (sum({cap}) OVER up - {cap})) / nullif(sum(w) OVER down, 0) AS lv
+      FROM (SELECT *, greatest({weight}, 0) AS w FROM {nodes})
+      WINDOW up AS (PARTITION BY {parent} ORDER BY {cap} / nullif(w, 0) NULLS LAST, {key} ROWS UNBOUNDED PRECEDING),
+        down AS (PARTITION BY {parent} ORDER BY {cap} / nullif(w, 0) NULLS LAST, {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))"""
 
 
 def sql(docs: str = "documents") -> str:
@@ -180,11 +205,13 @@ t AS (SELECT doc_id, coalesce((nullif(regexp_extract(source, '([0-9]{{1,9}})$',
     coalesce(lang, '(null)') AS lang, coalesce(source, '(null)') AS source,
     len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) AS tokens
   FROM {docs} WHERE len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 0),
-leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE * {MAX_EPOCHS} AS cap FROM t GROUP BY ALL),
+leaf AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens,
+    CASE WHEN {_sql_weight("source", SOURCE_WEIGHTS)} > 0 THEN sum(tokens)::DOUBLE * {MAX_EPOCHS} ELSE 0 END AS cap FROM t GROUP BY domain, lang, source),
+lcaps AS (SELECT domain, lang, CASE WHEN {_sql_weight("lang", LANGUAGE_WEIGHTS)} > 0 THEN sum(cap) ELSE 0 END AS lcap, sum(tokens) AS ltokens FROM leaf GROUP BY domain, lang),
 dom AS (SELECT *, 1 AS root, least(sum(dcap) OVER (), sum(dtokens) OVER () * {BUDGET}::DOUBLE) AS want
-  FROM (SELECT domain, sum(cap) AS dcap, sum(tokens) AS dtokens FROM leaf GROUP BY domain)),
+  FROM (SELECT domain, CASE WHEN {_sql_weight("domain", DOMAIN_WEIGHTS)} > 0 THEN sum(lcap) ELSE 0 END AS dcap, sum(ltokens) AS dtokens FROM lcaps GROUP BY domain)),
 dom2 AS {_sql_share("dom", "root", "domain", _sql_weight("domain", DOMAIN_WEIGHTS), "want", "dcap", "dget")},
-lng AS (SELECT domain, lang, lcap, dget FROM (SELECT domain, lang, sum(cap) AS lcap FROM leaf GROUP BY ALL) JOIN dom2 USING (domain)),
+lng AS (SELECT domain, lang, lcap, dget FROM lcaps JOIN dom2 USING (domain)),
 lng2 AS {_sql_share("lng", "domain", "lang", _sql_weight("lang", LANGUAGE_WEIGHTS), "dget", "lcap", "lget")},
 lf AS (SELECT leaf.*, lget FROM leaf JOIN lng2 USING (domain, lang)),
 lf2 AS {_sql_share("lf", "domain, lang", "source", _sql_weight("source", SOURCE_WEIGHTS), "lget", "cap", "got")},
