@@ -9,27 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, small, written
+from .common import BROADCAST_ROWS, pick, small, written
 from .prob_minhash import near_duplicates
 
 MAX_DOCS = 20
 MIN_KEPT = 0.3
 
 
-def normal_line(line: Column) -> Column:
-    digits = F.regexp_replace(line, "[0-9]+", "0")
-    return F.lower(F.trim(F.regexp_replace(digits, "[ \\t\\r\\f\\x0B]+", " ")))
+def normal_lines(text: Column) -> Column:
+    """The lines' normal forms. Digits and blanks are replaced in the whole text, as no such run crosses a line end."""
+    digits = F.regexp_replace(text, "[0-9]+", "0")
+    blanks = F.regexp_replace(digits, "[ \\t\\r\\f\\x0B]+", " ")
+    return F.transform(F.split(F.lower(blanks), "\n", -1), lambda x: F.trim(x))
 
 
 def _hashes(text: Column) -> Column:
     """Hash of each line's normal form; null for a blank line."""
-    return F.transform(F.split(text, "\n", -1), lambda x: F.nullif(F.xxhash64(normal_line(x)), F.xxhash64(F.lit(""))))
+    return F.transform(normal_lines(text), lambda x: F.when(x != "", F.xxhash64(x)))
 
 
-def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line): hashes of the lines that more than ``max_docs`` distinct texts of a host hold."""
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS, texts: bool = False) -> DataFrame:
+    """(host, line): hashes of the lines that more than ``max_docs`` documents of a host hold.
+
+    Documents are told apart by id, those without an id by their text; with ``texts``, all by their text. Counting goes
+    by (host, line, document) first, so a hot host or line is spread before it is summed.
+    """
+    own = F.xxhash64("text")
     lines = rows.where("text IS NOT NULL").select(
-        "host", F.xxhash64("text").alias("t"), F.explode(F.array_distinct(_hashes(F.col("text")))).alias("line")
+        "host", (own if texts else F.coalesce("id", own)).alias("t"), F.explode(F.array_distinct(_hashes(F.col("text")))).alias("line")
     )
     return (
         lines.where("line IS NOT NULL")
@@ -40,6 +47,37 @@ def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     )
 
 
+def _shelves(bad: DataFrame) -> DataFrame:
+    """(h, shelves) of frequent lines (host, line): of each host, its lines in an array of arrays, line x in the one at
+    place pmod(x, number of arrays), about 8 in each; so looking a line up is quick however many there are."""
+    sizes = bad.groupBy("host").agg(F.count("*").alias("n")).select(F.col("host").alias("h"), F.ceil(F.col("n") / 8).cast("bigint").alias("m"))
+    placed = bad.join(sizes, bad["host"].eqNullSafe(sizes["h"])).select("h", F.pmod("line", "m").alias("at"), "line")
+    every = sizes.select("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("at"), F.lit(None).cast("bigint").alias("line"))
+    shelf = placed.unionByName(every).groupBy("h", "at").agg(F.collect_list("line").alias("lines"))
+    whole = shelf.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "lines"))).alias("s"))
+    return whole.select("h", F.transform("s", lambda x: x["lines"]).alias("shelves"))
+
+
+def _with_bad_lines(rows: DataFrame, bad: DataFrame, most: int) -> DataFrame:
+    """``rows`` with ``hash``, the hashes of its lines, and ``bad``, of each line whether it is frequent.
+
+    Up to ``most`` frequent lines are broadcast by host, and texts stay where they are. Beyond it, lines are joined and
+    what was found goes back to its row, for which texts are shuffled by id.
+    """
+    if bad.limit(most + 1).count() <= most:
+        joined = rows.join(F.broadcast(_shelves(bad)), F.col("host").eqNullSafe(F.col("h")), "left").withColumn("hash", _hashes(F.col("text")))
+        shelf = lambda x: F.get("shelves", F.pmod(x, F.size("shelves")).cast("int"))
+        return joined.withColumn("bad", F.transform("hash", lambda x: F.coalesce(F.array_contains(shelf(x), x), F.lit(False))))
+    held = rows.select("id", "host", F.explode(F.array_distinct(_hashes(F.col("text")))).alias("line"))
+    hits = (
+        held.join(bad.select(F.col("host").alias("h"), F.col("line").alias("l")), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+        .groupBy(F.col("id").alias("i"), F.col("host").alias("h"))
+        .agg(F.collect_set("line").alias("found"))
+    )
+    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("i")) & F.col("host").eqNullSafe(F.col("h")), "left").withColumn("hash", _hashes(F.col("text")))
+    return joined.withColumn("bad", F.transform("hash", lambda x: F.coalesce(F.array_contains("found", x), F.lit(False))))
+
+
 def without_families(rows: DataFrame, bad: DataFrame, max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
     """Of the frequent lines ``bad``, those that are frequent even if a family of near copies counts once.
 
@@ -68,53 +106,39 @@ def without_families(rows: DataFrame, bad: DataFrame, max_docs: int = MAX_DOCS,
 
 def line_quality(
     docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source",
-    max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, extra: list[str] | None = None, families: bool = False,
+    max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, extra: list[str] | None = None, families: bool = False, most: int | None = None,
 ) -> DataFrame:
     """Kept documents: (doc_id, source: the host, text without frequent lines, n_lines, n_removed, n_chars).
 
-    A document counts once for a line however often it repeats it, and exact copies of a text count as one document of
-    their host (copies are the business of deduplication); with ``families``, near copies that would be rejected for
-    their lines count as one document, too, so that a family doesn't vanish for lines that only it has. A document is rejected if fewer than ``min_kept`` of its
-    line characters (line ends aside) are left, or if nothing but white space is left; so null, empty and blank texts
-    go. A null host is a host of its own; rows with null or repeated ids are each judged by their own text, and equal
+    A document counts once for a line however often it repeats it; rows that share an id are one document, and of those
+    without an id each distinct text is. With ``families``, as before deduplication, exact copies count as one document,
+    and so do near copies that would be rejected for their lines: else a family vanishes for lines that only it has. A
+    document is rejected if fewer than ``min_kept`` of its line characters (line ends aside) are left, or if nothing but
+    white space is left; so null, empty and blank texts go. A null host is a host of its own; rows with null or repeated ids are each judged by their own text, and equal
     rows give equal results. An empty table gives an empty result; of other columns only those in ``extra`` are kept, at the end.
     """
     more = extra or []
-    rows = pick(docs, id=id, text=text, host=host, **{f"extra{i}": c for i, c in enumerate(more)})
-    bad = written(frequent_lines(rows, max_docs))
+    rows = pick(docs, id=id, text=text, host=host, **{f"extra{i}": c for i, c in enumerate(more)}).where("text IS NOT NULL")
+    bad = written(frequent_lines(rows, max_docs, texts=families))
     if families:
         bad = written(without_families(rows, bad, max_docs, min_kept))
-    held = rows.where("text IS NOT NULL").select(
-        "id", "host", F.explode(F.array_distinct(_hashes(F.col("text")))).alias("line")
-    )
-    hits = written(
-        held.join(small(bad), held["host"].eqNullSafe(bad["host"]) & (held["line"] == bad["line"]))
-        .select(held["id"], held["host"], held["line"])
-        .groupBy("id", "host")
-        .agg(F.collect_set("line").alias("bad"))
-        .withColumnRenamed("id", "i")
-        .withColumnRenamed("host", "h")
-    )
-    joined = rows.where("text IS NOT NULL").join(
-        small(hits).hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("i")) & F.col("host").eqNullSafe(F.col("h")), "left"
-    )
+    joined = _with_bad_lines(rows, bad, BROADCAST_ROWS if most is None else most)
+    # bound by one-row generators: what a filter on them says isn't worked out again below
     lines = F.split("text", "\n", -1)
-    left = F.filter(
-        lines,
-        lambda x: ~F.coalesce(F.array_contains(F.col("bad"), F.xxhash64(normal_line(x))), F.lit(False)),
+    left = F.when(F.exists("bad", lambda x: x), F.filter(lines, lambda x, i: ~F.get("bad", i))).otherwise(lines)
+    more_in = [f"extra{i}" for i in range(len(more))]
+    bound = joined.select("id", "host", "text", *more_in, F.explode(F.array(left)).alias("left"))
+    bound = bound.select(
+        "id", "host", *more_in, F.size(lines).alias("n_lines"), F.size("left").alias("n_left"), (F.length("text") - F.size(lines) + 1).alias("n_all"),
+        F.explode(F.array(F.array_join("left", "\n"))).alias("kept"),
     )
-    n_all = F.length("text") - F.size(lines) + 1
-    out = joined.withColumn("left", F.when(F.col("bad").isNotNull(), left).otherwise(lines)).select(
-        "id", "host", F.array_join("left", "\n").alias("kept"), F.size(lines).alias("n_lines"),
-        (F.size(lines) - F.size("left")).alias("n_removed"), n_all.alias("n_all"), F.size("left").alias("n_left"),
-        *[f"extra{i}" for i in range(len(more))],
-    )
-    return out.where(
+    return bound.where(
         (F.length("kept") - F.greatest(F.col("n_left"), F.lit(1)) + 1 >= min_kept * F.col("n_all"))
         & F.col("kept").rlike("[^ \\t\\r\\n\\f\\x0B]")
     ).select(
-        F.col("id").alias("doc_id"), F.col("host").alias("source"), F.col("kept").alias("text"), "n_lines", "n_removed",
-        F.length("kept").cast("bigint").alias("n_chars"), *[F.col(f"extra{i}").alias(c) for i, c in enumerate(more)],
+        F.col("id").alias("doc_id"), F.col("host").alias("source"), F.col("kept").alias("text"), "n_lines",
+        (F.col("n_lines") - F.col("n_left")).alias("n_removed"), F.length("kept").cast("bigint").alias("n_chars"),
+        *[F.col(f"extra{i}").alias(c) for i, c in enumerate(more)],
     )
 
 
@@ -125,8 +149,8 @@ WITH d AS (
       regexp_replace(x, '[0-9]+', '0', 'g'), '[ \\t\\r\\f\\v]+', ' ', 'g')))) AS norms
   FROM documents WHERE text IS NOT NULL),
 f AS (
-  SELECT source, line FROM (SELECT source, text, unnest(norms) AS line FROM d)
-  WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT text) > {MAX_DOCS}),
+  SELECT source, line FROM (SELECT source, doc_id, text, unnest(norms) AS line FROM d)
+  WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'text ' || text)) > {MAX_DOCS}),
 p AS (
   SELECT source, list(line) AS bad FROM f GROUP BY source),
 k AS (
