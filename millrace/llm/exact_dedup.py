@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pick, small, written
+from .common import U64, mix, pick, position, small, written
 
 SHARD_KEYS = 100_000
 
@@ -83,19 +83,16 @@ class BinaryFuse:
         return (self.prints[slots[0]] ^ self.prints[slots[1]] ^ self.prints[slots[2]]) == prints
 
 
-def build_filters(digests: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """Filters of a snapshot's ``digest`` column, written once: (shard, seed, segment, segments, prints); shard count."""
+def build_filters(digests: DataFrame, shards: int) -> DataFrame:
+    """Filters of a snapshot's distinct ``digest`` column, one for each shard, written once: (shard, seed, segment, segments, prints)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         f = BinaryFuse.build(pdf["digest"].to_numpy().view(np.uint64))
         seed = np.array([f.seed], np.uint64).view(np.int64)[0]
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "seed": [seed], "segment": [f.segment], "segments": [f.segments], "prints": [f.prints.tobytes()]})
 
-    shards = max(1, math.ceil(digests.count() / shard_keys))
     rows = digests.select("digest", F.pmod("digest", F.lit(shards)).cast("int").alias("shard"))
-    return written(
-        rows.groupBy("shard").applyInPandas(build, "shard int, seed long, segment int, segments int, prints binary")
-    ), shards
+    return written(rows.groupBy("shard").applyInPandas(build, "shard int, seed long, segment int, segments int, prints binary"))
 
 
 def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
@@ -114,17 +111,21 @@ def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
 
 
 def suspect_digests(batches: list[DataFrame], shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """Digests that may occur twice: in two batches by the filters, or twice within one batch. Batches have ``digest``."""
-    found, older = None, None
+    """Digests that may occur twice: in two batches by the filters, or twice within one batch. Batches have ``digest``.
+
+    There are as many shards as the larger of snapshot and batch needs at ``shard_keys`` distinct digests each.
+    """
+    found, older, held = None, None, 0
     for batch in batches:
-        counted = batch.groupBy("digest").agg(F.count("*").alias("n"))
+        counted = written(batch.groupBy("digest").agg(F.count("*").alias("n")))
+        size = counted.count()
         twice = counted.where("n > 1").select("digest")
         found = twice if found is None else found.unionByName(twice)
         if older is not None:
-            filters, shards = build_filters(older, shard_keys)
-            found = found.unionByName(screen(counted, filters, shards))
+            shards = max(1, math.ceil(max(held, size) / shard_keys))
+            found = found.unionByName(screen(counted, build_filters(older, shards), shards))
         distinct = counted.select("digest")
-        older = distinct if older is None else older.unionByName(distinct).distinct()
+        older, held = distinct if older is None else older.unionByName(distinct), held + size
     return written(found.distinct())
 
 
@@ -146,8 +147,8 @@ def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
 
 
 def _suspects(rows: DataFrame, batches: int, shard_keys: int) -> DataFrame:
-    """Of ``rows`` (id, text)."""
-    keyed = rows.where("text IS NOT NULL").select("id", F.xxhash64("text").alias("digest"))
+    """Of ``rows`` (id, text); texts are read once for their digests."""
+    keyed = written(rows.where("text IS NOT NULL").select("id", F.xxhash64("text").alias("digest")))
     return suspect_digests([b.select("digest") for b in _batches(keyed, batches)], shard_keys)
 
 
@@ -159,18 +160,25 @@ def exact_duplicates(
     Batches are ranges of ids, so the first of a group is the one with the smallest id. Null texts have no duplicates;
     empty texts equal each other. Rows with a null id are in no pair, and rows that share both id and text are one
     document here, so that repeated rows give no pair. An empty table gives an empty result; other columns are dropped.
+
+    Texts of a bucket are compared by grouping them, of which each task sends one a text. Members then find their first by
+    the digest alone, without their texts; only where a digest has several texts are texts joined.
     """
     rows = pick(docs, id=id, text=text)
     suspects = small(_suspects(rows, batches, shard_keys))
-    held = rows.where("text IS NOT NULL AND id IS NOT NULL").withColumn("digest", F.xxhash64("text"))
-    group = Window.partitionBy("digest", "text")
-    return (
-        held.join(suspects, "digest", "left_semi")
-        .select("id", F.min("id").over(group).alias("first"))
-        .where("id > first")
-        .distinct()
-        .select(F.col("id").alias("doc_id"), F.col("first").alias("duplicate_of"))
-    )
+    held = rows.where("text IS NOT NULL AND id IS NOT NULL").withColumn("digest", F.xxhash64("text")).join(suspects, "digest", "left_semi")
+    firsts = written(held.groupBy("digest", "text").agg(F.min("id").alias("first")))
+    return _members(held, firsts, written(firsts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")))
+
+
+def _members(held: DataFrame, firsts: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(doc_id, duplicate_of) of ``held`` (digest, id, text) by the ``firsts`` (digest, text, first) of all
+    suspect texts; ``mixed`` has the digests of several texts."""
+    plain = firsts.join(mixed, "digest", "left_anti").select("digest", "first")
+    found = held.select("digest", "id").join(small(plain), "digest")
+    if not mixed.isEmpty():
+        found = found.unionByName(held.join(mixed, "digest", "left_semi").join(firsts, ["digest", "text"]).select("digest", "id", "first"))
+    return found.where("id > first").select(F.col("id").alias("doc_id"), F.col("first").alias("duplicate_of")).distinct()
 
 
 def drop_exact_duplicates(
@@ -178,14 +186,13 @@ def drop_exact_duplicates(
 ) -> DataFrame:
     """``docs`` with one row of each text, that of the smallest id (a null id last; among equal rows any), all columns.
 
-    Rows with a null text stay. Only rows whose digest is suspect are shuffled with their texts.
+    Rows with a null text stay. Only rows whose digest is suspect are shuffled with their texts, of each text one a task.
+    An empty table gives an empty result.
     """
     suspects = small(_suspects(pick(docs, id=id, text=text), batches, shard_keys))
+    i_id, i_text = position(docs, id), position(docs, text)
     names = docs.columns
-    at = {c.lower(): i for i, c in enumerate(names)}
-    i_id, i_text = (names.index(c) if c in names else at[c.lower()] for c in (id, text))
-    plain = docs.toDF(*[f"in{i}" for i in range(len(names))]).withColumn("digest", F.xxhash64(f"in{i_text}"))
-    plain = plain.withColumn("digest", F.when(F.col(f"in{i_text}").isNotNull(), F.col("digest")))
+    plain = docs.toDF(*[f"in{i}" for i in range(len(names))]).withColumn("digest", F.when(F.col(f"in{i_text}").isNotNull(), F.xxhash64(f"in{i_text}")))
     alone = plain.join(suspects, "digest", "left_anti")
     order = Window.partitionBy("digest", f"in{i_text}").orderBy(F.col(f"in{i_id}").asc_nulls_last())
     first = plain.join(suspects, "digest", "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1")
