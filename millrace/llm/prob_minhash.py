@@ -10,18 +10,20 @@ which the whole signatures verify; the verified pairs' connected components are
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GOLD as _GOLD
-from .common import U64, mix, pick, slices, small, utf8, word_hashes, written
+from .common import U64, mix, pick, position, slices, small, utf8, word_hashes, written
 
 SHINGLE = 3
 BANDS, ROWS = 50, 4
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.5
-
+#: Members up to which one task holds a bucket; larger ones are compared part by part.
+PART = 2048
 
 
 def weighted_shingles(words: np.ndarray, rows: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,12 +120,11 @@ def sign_texts(docs: DataFrame) -> DataFrame:
 
 
 def _verify(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs (a, b) inside buckets: rows (bucket, id, sign), in any order.
+    """Verified pairs (a, b) inside buckets of bounded size: rows (bucket, id, sign), in any order.
 
     In each bucket the first document that is left takes all that are similar to it, and each taken one those that are
-    left, until none is similar to any taken one; so the pairs connect what all verified pairs of the bucket connect. A
-    bucket of like documents takes one pass however large it is, and nothing is capped. Buckets are streamed in sorted
-    partitions.
+    left, until none is similar to any taken one; so the pairs connect what all verified pairs of the bucket connect.
+    Buckets are streamed in sorted partitions.
     """
 
     def pairs(ids: np.ndarray, signs: list[bytes], out_a: list, out_b: list) -> None:
@@ -144,7 +145,7 @@ def _verify(buckets: DataFrame, threshold: float) -> DataFrame:
                 left, rest = left[~like], rest[~like]
 
     def run(batches):
-        held_bucket, held_ids, held_signs = None, [], []
+        held_bucket, held_ids, held_signs = None, [], []  # of one bucket, which has PART members at most
         for batch in batches:
             bucket = np.asarray(batch.column(0))
             if not len(bucket):
@@ -158,7 +159,7 @@ def _verify(buckets: DataFrame, threshold: float) -> DataFrame:
                         pairs(np.concatenate(held_ids), held_signs, a, b)
                     held_bucket, held_ids, held_signs = bucket[i], [], []
                 held_ids.append(ids[i:j])
-                held_signs = held_signs + signs[i:j] if held_signs else signs[i:j]
+                held_signs += signs[i:j]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
         if len(held_signs) > 1:
@@ -171,6 +172,52 @@ def _verify(buckets: DataFrame, threshold: float) -> DataFrame:
     return ordered.select("bucket", "id", "sign").mapInArrow(run, "a long, b long")
 
 
+def _verify_large(buckets: DataFrame, threshold: float, part: int = PART) -> DataFrame:
+    """As ``_verify``, for buckets (bucket, n, id, sign) of any size, none of which any task holds whole.
+
+    Each bucket's leader, the member that comes first by hash, is compared with all members where they are. Those that
+    it doesn't take are compared with all members in blocks of about ``part`` by ``part``; what the leader took is
+    connected already, so that a block links a document to it once. All comparisons are made that can connect anything.
+    """
+
+    def against_leader(batches):
+        for batch in batches:
+            mine, first = batch.column("sign"), batch.column("lead_sign")
+            if batch.num_rows:
+                a = np.frombuffer(b"".join(mine.to_pylist()), "<u2").reshape(batch.num_rows, -1)
+                b = np.frombuffer(b"".join(first.to_pylist()), "<u2").reshape(batch.num_rows, -1)
+                like = pa.array((a == b).mean(axis=1) >= threshold)
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("bucket", "n", "id", "sign", "lead")] + [like], ["bucket", "n", "id", "sign", "lead", "taken"])
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        sign = np.frombuffer(b"".join(pdf["sign"]), "<u2").reshape(len(pdf), -1)
+        mine, all_ids = pdf["mine"].to_numpy(), pdf["id"].to_numpy()
+        ids, others = all_ids[~mine], sign[~mine]
+        group = np.where(pdf["taken"].to_numpy()[~mine], -1, np.arange(len(ids)))  # what is connected so far
+        out = []
+        for one, row in zip(all_ids[mine].tolist(), sign[mine]):
+            hit = np.flatnonzero((others == row).mean(axis=1) >= threshold)
+            if len(hit):
+                groups, at = np.unique(group[hit], return_index=True)
+                out += [(one, int(ids[k])) for k in hit[at]]
+                group[np.isin(group, groups)] = groups[0]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    leads = written(buckets.groupBy("bucket").agg(F.min_by(F.struct("id", "sign"), F.xxhash64("id", "bucket")).alias("l")))
+    led = buckets.join(small(leads.select("bucket", F.col("l.id").alias("lead"), F.col("l.sign").alias("lead_sign"))), "bucket")
+    done = written(led.mapInArrow(against_leader, "bucket long, n long, id long, sign binary, lead long, taken boolean"))
+    found = done.where("taken AND id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    rest = written(done.where("NOT taken").groupBy("bucket").agg(F.count("*").alias("n_rest")))
+    sized = done.join(small(rest), "bucket").select(
+        "bucket", "id", "sign", "taken", F.ceil(F.col("n_rest") / part).cast("int").alias("rows"), F.ceil(F.col("n") / part).cast("int").alias("columns")
+    )
+    own, every = (F.pmod(F.xxhash64("id", F.lit(3)), c).cast("int") for c in ("rows", "columns"))
+    left = sized.where("NOT taken").select("bucket", "id", "sign", "taken", F.lit(True).alias("mine"), own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"))
+    right = sized.select("bucket", "id", "sign", "taken", F.lit(False).alias("mine"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), every.alias("j"))
+    blocks = left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(block, "a long, b long")
+    return found.unionByName(blocks.where("a <> b"))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(id, first): each node of the undirected pairs (a, b) with the smallest node of its component.
 
@@ -195,27 +242,42 @@ def components(pairs: DataFrame) -> DataFrame:
         seen = state
 
 
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """(bucket, n, id): members of the keys of (id, key) that several ids have, of keys with the same members only one.
+
+    Keys with equal numbers, smallest and largest ids and sums of two 28-bit hashes have the same members; no task holds
+    a key's members to find that out.
+    """
+    hashed = F.xxhash64("id")
+    part = lambda shift: F.sum(F.shiftright(hashed, shift).bitwiseAND((1 << 28) - 1))
+    sets = ["n", "low", "high", "one", "two"]
+    keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), part(0).alias("one"), part(28).alias("two"))
+    kept = written(keys.where("low < high").groupBy(*sets).agg(F.min("key").alias("bucket")).select("bucket", "n"))
+    return keyed.join(small(kept), F.col("key") == F.col("bucket")).select("bucket", "n", "id")
+
+
 def near_duplicates(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
+    docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, part: int = PART
 ) -> DataFrame:
     """(doc_id, duplicate_of, n_group): documents of groups of near-duplicates but the first, with the first of each.
 
     Similarity is the probability Jaccard of word 3-shingles weighted by their counts, estimated by 200 registers
     (standard error at most 0.036) and compared with ``threshold``; 50 bands of 4 find a pair at 0.5 with probability
-    0.96, at 0.55 with 0.99. So a pair within the error of the threshold is judged by its estimate, not by its true value. Exact copies are near-duplicates, too. Case and punctuation don't count. Null texts and texts
-    without a word are in no group, nor are rows with a null id; rows that share an id are one document, similar to
-    whatever any of them is similar to. An empty table gives an empty result; other columns are dropped.
+    0.96, at 0.55 with 0.99. So a pair within the error of the threshold is judged by its estimate, not by its true value.
+    Exact copies are near-duplicates, too. Case and punctuation don't count. Null texts and texts without a word are in no
+    group, nor are rows with a null id; rows that share an id are one document, similar to whatever any of them is similar
+    to. An empty table gives an empty result; other columns are dropped. Buckets have no cap: those of more than ``part``
+    members are compared part by part.
     """
     rows = pick(docs, id=id, text=text).where("id IS NOT NULL AND text IS NOT NULL")
-    rows = rows.select(F.col("id").cast("long").alias("id"), "text")
     signed = written(sign_texts(rows))
     keyed = signed.select("id", F.explode("bands").alias("key"))
-    groups = keyed.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
-    # the same documents meet in many bands; one bucket for each set of documents is enough
-    groups = groups.groupBy(F.xxhash64("ids").alias("bucket"), F.size("ids").alias("n")).agg(F.first("ids").alias("ids"))
-    members = written(groups.select(F.xxhash64("bucket", "n").alias("bucket"), F.explode("ids").alias("id")))
+    members = written(_buckets(keyed))
     buckets = members.join(signed.select("id", "sign"), "id")
-    found = components(_verify(buckets, threshold))
+    pairs = _verify(buckets.where(F.col("n") <= part), threshold)
+    if not members.where(F.col("n") > part).isEmpty():
+        pairs = pairs.unionByName(_verify_large(buckets.where(F.col("n") > part), threshold, part))
+    found = components(pairs)
     size = F.count("*").over(Window.partitionBy("first")) + 1
     return found.select(F.col("id").alias("doc_id"), F.col("first").alias("duplicate_of"), size.cast("int").alias("n_group"))
 
@@ -224,8 +286,7 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     """``docs`` without the documents that ``near_duplicates`` reports, all columns; so the smallest id of each group
     stays, and rows with null ids or texts do."""
     losers = written(near_duplicates(docs, id, text, threshold).select(F.col("doc_id").alias("loser")))
-    names = docs.columns
-    at = names.index(id) if id in names else [c.lower() for c in names].index(id.lower())
+    names, at = docs.columns, position(docs, id)
     plain = docs.toDF(*[f"in{i}" for i in range(len(names))])
     return plain.join(small(losers), F.col(f"in{at}") == F.col("loser"), "left_anti").toDF(*names)
 
