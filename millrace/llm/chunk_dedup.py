@@ -13,11 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, pick, slices, utf8, written
+from ..functions.binding import let
+from .common import mix, pick, position, slices, small, utf8, written
 
 MEAN = 16
 LEAST, MOST = 8, 256
 MIN_SPAN = 100
+#: Places sampled, one in so many, and of a chunk that is hot at least so many of these.
+EVERY, LEAST_SEEN = 1024, 64
 
 #: Random 32 bits of each byte; 0xFF, which UTF-8 never has, separates texts and adds nothing.
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -99,9 +102,35 @@ def chunk_texts(docs: DataFrame, mean: int = MEAN, least: int = LEAST, most: int
     return docs.mapInArrow(run, "id long, start int, size int, digest long")
 
 
+def hot_chunks(chunks: DataFrame, every: int = EVERY, least: int = LEAST_SEEN) -> DataFrame:
+    """(d, s): digests and sizes of chunks of which a sample of one place in ``every`` has at least ``least`` places, and a
+    100,000th of all its places; so at most 100,000 chunks, whatever the input."""
+    seen = chunks.where(F.pmod(F.xxhash64("id", "start"), F.lit(every)) == 0).groupBy("digest", "size").agg(F.count("*").alias("n"))
+    seen = written(seen.where(F.col("n") >= least))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    return seen.where(F.col("n") >= total / 100_000).select(F.col("digest").alias("d"), F.col("size").alias("s"))
+
+
+def _later(chunks: DataFrame, every: int, least: int) -> DataFrame:
+    """(id, start, stop, first_id) of the places of repeated chunks but the first.
+
+    How places are shuffled doesn't matter to the result: those of hot chunks stay where they are, as their firsts are few
+    and broadcast; the others are shuffled once by chunk, for finding the first and for comparing with it.
+    """
+    hot = F.broadcast(hot_chunks(chunks, every, least))
+    same = (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s"))
+    found = []
+    for places, broadcast in ((chunks.join(hot, same, "left_anti").repartition("digest", "size"), False), (chunks.join(hot, same, "left_semi"), True)):
+        first = places.groupBy("digest", "size").agg(F.min(F.struct("id", "start")).alias("at"), F.count("*").alias("n")).where("n > 1")
+        first = first.select(F.col("digest").alias("d"), F.col("size").alias("s"), F.col("at.id").alias("first_id"), F.col("at.start").alias("first_start"))
+        later = places.join(F.broadcast(first) if broadcast else first, same).where("id <> first_id OR start <> first_start")
+        found.append(later.select("id", "start", (F.col("start") + F.col("size")).alias("stop"), "first_id"))
+    return found[0].unionByName(found[1])
+
+
 def repeated_spans(
     docs: DataFrame, id: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN,
-    mean: int = MEAN, least: int = LEAST, most: int = MOST,
+    mean: int = MEAN, least: int = LEAST, most: int = MOST, every: int = EVERY, least_seen: int = LEAST_SEEN,
 ) -> DataFrame:
     """(doc_id, start, stop, first_doc_id, n_chunks): spans of repeated chunks, ``min_span`` bytes or more.
 
@@ -114,20 +143,8 @@ def repeated_spans(
     empty result; other columns are dropped.
     """
     rows = pick(docs, id=id, text=text).where("id IS NOT NULL AND text IS NOT NULL")
-    chunks = written(chunk_texts(rows.select(F.col("id").cast("long").alias("id"), "text"), mean, least, most))
-    placed = chunks.repartition("digest", "size")
-    first = (
-        placed.groupBy("digest", "size")
-        .agg(F.min(F.struct("id", "start")).alias("at"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select(F.col("digest").alias("d"), F.col("size").alias("s"), F.col("at.id").alias("first_id"), F.col("at.start").alias("first_start"))
-    )
-    later = placed.join(first, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s"))).where(
-        "id <> first_id OR start <> first_start"
-    )
-    later = later.select("id", "start", (F.col("start") + F.col("size")).alias("stop"), "first_id").groupBy("id", "start", "stop").agg(
-        F.min("first_id").alias("first_id")
-    )
+    chunks = written(chunk_texts(rows, mean, least, most))
+    later = _later(chunks, every, least_seen).groupBy("id", "start", "stop").agg(F.min("first_id").alias("first_id"))
     along = Window.partitionBy("id").orderBy("start", "stop")
     joins = F.coalesce(F.lag("stop").over(along) >= F.col("start"), F.lit(False))
     runs = later.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("new").over(along))
@@ -137,3 +154,21 @@ def repeated_spans(
         .where(F.col("stop") - F.col("start") >= min_span)
         .select("doc_id", "start", "stop", "first_doc_id", "n_chunks")
     )
+
+
+def drop_repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with the spans that ``repeated_spans`` reports cut from their texts, all columns; so one copy of each
+    passage stays. Rows with a null id or text, and those whose id has several texts, stay as they are."""
+    names, i_id, i_text = docs.columns, position(docs, id), position(docs, text)
+    several = pick(docs, id=id, text=text).where("text IS NOT NULL").groupBy("id").agg(F.countDistinct(F.xxhash64("text")).alias("n")).where("n > 1")
+    spans = repeated_spans(docs, id, text, **options).join(several, F.col("doc_id") == F.col("id"), "left_anti")
+    spans = written(spans.groupBy(F.col("doc_id").alias("owner")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")))
+    plain = docs.toDF(*[f"in{i}" for i in range(len(names))]).join(small(spans), F.col(f"in{i_id}") == F.col("owner"), "left")
+    # what stays: from the end of each span, or the text's start, to the next span
+    begins = F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["stop"]))
+    ends = F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.octet_length(f"in{i_text}")))
+    raw = F.encode(F.col(f"in{i_text}"), "UTF-8")
+    piece = lambda whole: lambda x: F.decode(F.substring(whole, x["a"] + 1, x["b"] - x["a"]), "UTF-8")
+    kept = let(raw, lambda whole: F.array_join(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), piece(whole)), ""))
+    cut = F.when(F.col("owner").isNotNull(), kept).otherwise(F.col(f"in{i_text}"))
+    return plain.select(*[cut.alias(f"in{i}") if i == i_text else F.col(f"in{i}") for i in range(len(names))]).toDF(*names)
