@@ -14,29 +14,33 @@ from millrace.llm.common import load, written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that too many documents of a source share; documents that are depleted by it go. Families of near copies
-    count once, so that ``near`` can keep one document of each."""
-    kept = line_quality.line_quality(docs, extra=["lang"], families=True)
-    return kept.select("doc_id", "text", F.col("lang"), "source", "n_chars")
+    count once, so that ``near`` can keep one document of each. Null, empty and blank texts go; a null source is a source;
+    rows with null or repeated ids are each judged; repeated rows stay; other columns stay."""
+    return line_quality.drop_frequent_lines(docs, families=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, the one with the smallest id."""
+    """One document of each text, the one with the smallest id (a null id last; of equal rows any). Null texts stay, empty
+    texts equal each other; all columns stay."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id. Rows with a null id or text stay, and
+    texts without a word; rows that share an id stay or go together; all columns stay."""
     return prob_minhash.drop_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights select, once for each epoch; the one in which a leaf's budget ends is cut there.
-    Documents without a word go."""
-    return mixing.mix_documents(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    Documents without a word go; a null language or source is a leaf; rows that share an id are taken together; all columns
+    stay, ``n_chars`` as of the text."""
+    mixed = mixing.mix_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else mixed
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, tokens, n_tokens, round_trip) of each document of the mixture."""
+    """(doc_id, tokens, n_tokens, round_trip) of each document of the mixture; a null id stays null."""
     return bpe.bpe_encode(docs)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,28 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def bounded_sample(rows: DataFrame, by: str, keys: list[str], most: int, seed: int) -> DataFrame:
+    """Of each value of ``by``, the ``most`` rows that come first by a hash of ``keys``, all if there are fewer.
+
+    The values must be few: their numbers go to the driver. A draw by the hash leaves about twice as many rows, so that
+    few are shuffled; where repeated rows make it leave too few, all rows of that value are ordered. At most ``most`` rows
+    of each value are written and returned, however often a row is repeated.
+    """
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    part = F.lit(0.0)
+    for value, n in counts.items():
+        part = F.when(F.col(by) == value, min(1.0, (2 * most + 50) / n)).otherwise(part)
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_003)))
+    order = Window.partitionBy(by).orderBy("draw", *keys)
+    first = lambda df: written(df.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(*rows.columns))
+    got = first(drawn.where(F.col("draw") / 1_000_003.0 < part))
+    have = {r[by]: r["n"] for r in got.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    short = [value for value, n in counts.items() if have.get(value, 0) < min(n, most)]
+    if short:
+        got = got.where(~F.col(by).isin(short)).unionByName(first(drawn.where(F.col(by).isin(short))))
+    return got
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit mixing generator, elementwise on uint64 (a new array)."""
     x = x ^ (x >> U64(30))

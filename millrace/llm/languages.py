@@ -13,14 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import folded, pick, slices, utf8
+from .common import bounded_sample, folded, pick, slices, utf8
 
 GRAMS = (1, 2, 3, 4)
 LOG_SIZE = 16
-#: Labelled texts of each language that training takes at most, all if there are fewer.
+#: Labelled texts of each language that training takes at most (a bound on what the driver collects), all if there are fewer.
 SAMPLE, SEED = 120, 41
 #: A relative difference of losses below which a text is ambiguous, and the n-grams below which any is.
 GAP, LEAST_GRAMS = 0.15, 40
@@ -89,7 +88,8 @@ class Model:
         return self.bias + total / np.maximum(count, 1)[:, None], count
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the nearest codeword, and the relative difference of the second's loss."""
+        """Index of the nearest codeword, and the relative difference of the second's loss; of equal losses the language
+        that comes first by name counts as the nearest, and the gap is 0."""
         losses = np.stack([np.logaddexp(0, -margins * c) @ self.trust for c in self.code.astype(float)], axis=1)
         first = losses.argmin(1)
         two = np.sort(losses, axis=1)
@@ -97,16 +97,6 @@ class Model:
         return first, gap
 
 
-def _sample(docs: DataFrame, sample: int, seed: int) -> DataFrame:
-    """(lang, text): about ``sample`` labelled texts of each language, chosen by hash of the id and the text."""
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    part = F.lit(0.0)
-    for lang, n in counts.items():
-        part = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(part)
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    return docs.where(draw < part).select("id", "lang", "text")
-
-
 def _counted(docs: DataFrame) -> list:
     """(id, lang, grams, counts) of sampled texts."""
 
@@ -129,10 +119,12 @@ def _counted(docs: DataFrame) -> list:
 def train(
     docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, seed: int = SEED, rounds: int = 40
 ) -> Model:
-    """Trained on a bounded sample of labelled texts, about ``sample`` of each language, whole; a fifth of it is held out
-    to weigh the bits. Rows with a null or empty text or a null language are left out; None if nothing is left."""
+    """Trained on a bounded sample of labelled texts, at most ``sample`` of each language, whole; a fifth of it is held out
+    to weigh the bits. With fewer texts than five for each language none is held out, and bits are weighed on the texts
+    they were trained on. Rows with a null or empty text or a null language are left out, those with a null or repeated id
+    are like others; None if nothing is left. The languages are taken to be few: their numbers go to the driver."""
     rows = pick(docs, id=id, text=text, lang=lang).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    got = sorted(_counted(_sample(rows.selectExpr("CAST(id AS BIGINT) AS id", "text", "lang"), sample, seed)), key=lambda r: (r["lang"], r["id"] or 0, len(r["grams"])))
+    got = sorted(_counted(bounded_sample(rows, "lang", ["id", "text"], sample, seed).select("id", "lang", "text")), key=lambda r: (r["lang"], r["id"] is None, r["id"] or 0, r["grams"], r["counts"]))
     got = [r for r in got if r["grams"]]
     if not got:
         return None

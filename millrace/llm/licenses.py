@@ -59,6 +59,32 @@ TEMPLATES = {
         "License for more details. You should have received a copy of the GNU General Public License along with this "
         "program. If not, see <https://www.gnu.org/licenses/>.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "Licensed under the GNU General Public License v2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
+        "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public "
+        "License for more details. You should have received a copy of the GNU General Public License along with this "
+        "program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA "
+        "02110-1301 USA.",
+    ],
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero "
+        "General Public License for more details. You should have received a copy of the GNU Affero General Public License "
+        "along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
+    "LGPL-2.1": [
+        "Licensed under the GNU Lesser General Public License, version 2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version.",
+    ],
     "LGPL-3.0": [
         "Licensed under the GNU Lesser General Public License, version 3",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
@@ -85,6 +111,14 @@ TEMPLATES = {
         "with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used "
         "to endorse or promote products derived from this software without specific prior written permission.",
     ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+        "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution.",
+    ],
     "ISC": [
         "Licensed under the ISC License",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
@@ -265,7 +299,7 @@ def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templa
 
     A span is a chain of matches of 4 tokens or more with gaps of at most 12 that matches 24 tokens of a template, or
     80 % of a shorter one. Spans of a text don't overlap; where several templates match, the one with most matched tokens
-    wins. Case and punctuation don't count. Null and empty texts have no span; rows with null or repeated ids are
+    wins, of equals the one with the shorter template, then the earlier span, then the licence that comes first by name. Case and punctuation don't count. Null and empty texts have no span; rows with null or repeated ids are
     each scanned; whole texts are. An empty table gives an empty result; other columns are dropped. The automaton, of
     the templates' size, is broadcast.
     """

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, pick, small, written
+from .common import BROADCAST_ROWS, pick, position, small, written
 from .prob_minhash import near_duplicates
 
 MAX_DOCS = 20
@@ -104,20 +104,20 @@ def without_families(rows: DataFrame, bad: DataFrame, max_docs: int = MAX_DOCS,
     )
 
 
-def line_quality(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source",
-    max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, extra: list[str] | None = None, families: bool = False, most: int | None = None,
+def _judged(
+    docs: DataFrame, id: str, text: str, host: str, more: list[str],
+    max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT, families: bool = False, most: int | None = None,
 ) -> DataFrame:
-    """Kept documents: (doc_id, source: the host, text without frequent lines, n_lines, n_removed, n_chars).
+    """(id, host, kept: the text without frequent lines, n_lines, n_removed, n_chars, extra0 ...: the columns ``more``).
 
     A document counts once for a line however often it repeats it; rows that share an id are one document, and of those
     without an id each distinct text is. With ``families``, as before deduplication, exact copies count as one document,
     and so do near copies that would be rejected for their lines: else a family vanishes for lines that only it has. A
     document is rejected if fewer than ``min_kept`` of its line characters (line ends aside) are left, or if nothing but
-    white space is left; so null, empty and blank texts go. A null host is a host of its own; rows with null or repeated ids are each judged by their own text, and equal
-    rows give equal results. An empty table gives an empty result; of other columns only those in ``extra`` are kept, at the end.
+    white space is left; so null, empty and blank texts go. A null host is a host of its own; rows with null or repeated
+    ids are each judged by their own text, and equal rows give equal results. More than ``most`` frequent lines are joined
+    instead of broadcast.
     """
-    more = extra or []
     rows = pick(docs, id=id, text=text, host=host, **{f"extra{i}": c for i, c in enumerate(more)}).where("text IS NOT NULL")
     bad = written(frequent_lines(rows, max_docs, texts=families))
     if families:
@@ -136,10 +136,30 @@ def line_quality(
         (F.length("kept") - F.greatest(F.col("n_left"), F.lit(1)) + 1 >= min_kept * F.col("n_all"))
         & F.col("kept").rlike("[^ \\t\\r\\n\\f\\x0B]")
     ).select(
-        F.col("id").alias("doc_id"), F.col("host").alias("source"), F.col("kept").alias("text"), "n_lines",
-        (F.col("n_lines") - F.col("n_left")).alias("n_removed"), F.length("kept").cast("bigint").alias("n_chars"),
-        *[F.col(f"extra{i}").alias(c) for i, c in enumerate(more)],
-    )
+        "id", "host", "kept", "n_lines", (F.col("n_lines") - F.col("n_left")).alias("n_removed"), F.length("kept").cast("bigint").alias("n_chars"), *more_in
+    )
+
+
+def line_quality(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", **options) -> DataFrame:
+    """Kept documents: (doc_id, source: the host, text without frequent lines, n_lines, n_removed, n_chars), by the rules of
+    ``_judged``, whose options these are. Other columns are dropped; an empty table gives an empty result."""
+    return _judged(docs, id, text, host, [], **options).select(
+        F.col("id").alias("doc_id"), F.col("host").alias("source"), F.col("kept").alias("text"), "n_lines", "n_removed", "n_chars"
+    )
+
+
+def drop_frequent_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", chars: str = "n_chars", **options) -> DataFrame:
+    """``docs`` by the same rules: all columns, whatever their names, with what is left of the text and, where there is such
+    a column, its length as ``chars``."""
+    names = docs.columns
+    own = {position(docs, id): "id", position(docs, host): "host", position(docs, text): "kept"}
+    if chars in names:
+        own[names.index(chars)] = "n_chars"
+    others = [i for i in range(len(names)) if i not in own]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {v: f"c{k}" for k, v in own.items()}
+    got = _judged(plain, at["id"], at["kept"], at["host"], [f"c{i}" for i in others], **options)
+    return got.select(*[F.col(own[i]) if i in own else F.col(f"extra{others.index(i)}") for i in range(len(names))]).toDF(*names)
 
 
 SQL = f"""

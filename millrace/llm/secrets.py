@@ -210,7 +210,7 @@ def secret_scan(docs: DataFrame, id: str = "doc_id", text: str = "text", model:
     """(doc_id, start, stop, secret, score) of each secret, in bytes of the text's UTF-8; score is the ratio in nats.
 
     A secret is at least 16 characters of A-Z a-z 0-9 _ - + / that random strings explain better than identifiers; a
-    run of such characters may hold several. Null and empty texts have none; rows with null or repeated ids are each
+    run of such characters may hold several; of segments with the same sum the one that ends, then begins first counts. Null and empty texts have none; rows with null or repeated ids are each
     scanned. Whole texts are scanned however long. An empty table gives an empty result; other columns are dropped.
     The model (1.2 MB, whatever the data) is broadcast.
     """

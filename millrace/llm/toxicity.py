@@ -2,7 +2,7 @@
 
 A linear model scores windows (sentences, long ones in pieces) by hashed words and beginnings of words; a document's score
 is that of its worst window. It is trained on labelled documents: of a toxic one the window that scores highest is taken
-to be toxic, of a clean one no window is. In each labelled window identity terms are swapped for others, and the
+to be toxic, of a clean one no window is. In each labelled window identity terms are swapped for all others, and the
 square of the change of the score is penalised, so that naming a group weighs nothing by itself.
 """
 
@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, hashed_words, pick, slices, utf8
+from .common import Words, bounded_sample, pick, slices, utf8
 
 LOG_SIZE = 18
 PREFIXES = (6, 7)
 WINDOW = 32
-#: Labelled documents of each class that training takes at most, all if there are fewer.
+#: Labelled documents of each class that training takes at most (a bound on what the driver collects), all if there are fewer.
 SAMPLE, SEED = 1500, 53
 PENALTY = 4.0
+RIDGE = 1e-3
 #: Least likelihood-ratio statistic by which a feature must tell labelled toxic documents from clean ones to get a weight.
 EVIDENCE = 20.0
 #: Names of groups, and neutral words for people that they are swapped with, too.
@@ -93,51 +94,91 @@ def _distinct(features: np.ndarray) -> np.ndarray:
     return features[np.sort(np.unique(features[:, 0], return_index=True)[1])]
 
 
-def _fit(windows: list[np.ndarray], y: np.ndarray, share: np.ndarray, start: np.ndarray, terms: np.ndarray, telling: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Logistic regression over windows' features with the counterfactual penalty."""
-    flat = np.concatenate([f.ravel() for f in windows]).astype(np.int64)
-    sizes = np.array([f.size for f in windows])
-    at = np.cumsum(sizes) - sizes
-    # words of all windows that are identity terms: the swap changes the score by the difference of the terms' features
+def swap_weights(windows: list[np.ndarray], share: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """(terms x terms) weights of the swaps: each identity term of a window is swapped for each term that the window doesn't
+    name; a window's ``share`` is spread evenly over its swaps. Windows are the features of their distinct words."""
     known = {tuple(t): k for k, t in enumerate(terms.tolist())}
-    present = np.zeros(len(terms))
+    out = np.zeros((len(terms), len(terms)))
     for f, s in zip(windows, share):
-        for k in (known.get(tuple(r)) for r in f[np.isin(f[:, 0], terms[:, 0])].tolist()):
-            if k is not None:
-                present[k] += s
-    # a window without a term counts as if one were put there and swapped
-    present = (present + share.sum() / max(1, len(terms))) if len(terms) else present
+        own = {known[r] for r in map(tuple, f[np.isin(f[:, 0], terms[:, 0])].tolist()) if r in known}
+        if 0 < len(own) < len(known):
+            other = [k for k in known.values() if k not in own]
+            out[np.ix_(sorted(own), other)] += s / (len(own) * len(other))
+    return out
+
+
+def counterfactual_loss(weights: np.ndarray, terms: np.ndarray, swaps: np.ndarray) -> float:
+    """The mean over windows' swaps of the squared change of the score: a swap changes it by the terms' difference."""
+    value = weights[terms].sum(1)
+    return float((swaps * (value[:, None] - value[None, :]) ** 2).sum())
+
+
+def _fit(windows: list[np.ndarray], y: np.ndarray, share: np.ndarray, start: np.ndarray, bias: float, terms: np.ndarray, may: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Logistic regression over windows' features with the counterfactual penalty, by Newton steps solved with conjugate
+    gradients: the loss is convex, so its least is found whatever the start."""
+    flat = np.concatenate([f.ravel() for f in windows]).astype(np.int64)
+    sizes = np.array([f.size for f in windows])
+    swaps = swap_weights(windows, share, terms) if len(terms) else np.zeros((0, 0))
+    laplace = np.diag(swaps.sum(0) + swaps.sum(1)) - swaps - swaps.T
     used, local = np.unique(np.concatenate([flat, terms.ravel().astype(np.int64)]), return_inverse=True)
     flat, term = local[: len(flat)], local[len(flat) :].reshape(terms.shape)
-    may = telling[used]
-    w, b = start[used].copy(), 0.0
-    past, past_b = np.full(len(used), 1e-8), 1e-8
-    owner = np.repeat(np.arange(len(windows)), sizes)
-    for _ in range(rounds):
-        margin = b + np.add.reduceat(w[flat], at)
-        slope = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) * share
-        g = np.bincount(flat, slope[owner], len(used)) + 1e-5 * w
-        if len(terms) and penalty:
-            value = w[term].sum(1)
-            # over all swaps: the mean square difference from the other terms
-            change = 2 * penalty * present / present.sum() * (value - value.mean())
-            g += np.bincount(term.ravel(), np.repeat(change - change.mean(), term.shape[1]), len(used))
-        g[~may] = 0
-        past += g * g
-        w -= 0.3 * g / np.sqrt(past)
-        gb = slope.sum()
-        past_b += gb * gb
-        b -= 0.3 * gb / np.sqrt(past_b)
+    # only features that may weigh anything count; the last variable is the bias
+    n = len(used)
+    free = np.append(may[used], True)
+    owner = np.repeat(np.arange(len(windows)), sizes)[free[flat]]
+    flat = flat[free[flat]]
+
+    def times(v):  # the windows' scores
+        return v[n] + np.bincount(owner, v[flat], len(windows))
+
+    def back(r):
+        return np.append(np.bincount(flat, r[owner], n), r.sum()) * free
+
+    def pull(v):  # half the gradient of the penalty
+        return np.append(np.bincount(term.ravel(), np.repeat(laplace @ v[:n][term].sum(1), term.shape[1]), n), 0.0) * free if len(terms) else np.zeros(n + 1)
+
+    ridge = np.append(np.full(n, RIDGE), 1e-6)
+
+    def loss(v):
+        margin = times(v)
+        value = v[:n][term].sum(1) if len(terms) else np.zeros(0)
+        return (share * (np.logaddexp(0, margin) - y * margin)).sum() + penalty * value @ laplace @ value + 0.5 * (ridge * v * v).sum()
+
+    v = np.append(start[used], bias) * free
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-np.clip(times(v), -50, 50)))
+        gradient = back((p - y) * share) + 2 * penalty * pull(v) + ridge * v
+        if np.abs(gradient).max() < 1e-7:
+            break
+        curve = share * p * (1 - p)
+        step, left = np.zeros(n + 1), -gradient
+        way, size = left.copy(), left @ left
+        least = 1e-6 * size
+        for _ in range(60):
+            bent = back(curve * times(way)) + 2 * penalty * pull(way) + ridge * way
+            a = size / (way @ bent)
+            step, left = step + a * way, left - a * bent
+            new = left @ left
+            if new <= least:
+                break
+            way, size = left + new / size * way, new
+        now, slope, t = loss(v), gradient @ step, 1.0
+        while loss(v + t * step) > now + 1e-4 * t * slope and t > 1e-6:
+            t /= 2
+        v = v + t * step
     out = np.zeros_like(start)
-    out[used] = w
-    return out, b
+    out[used] = v[:n]
+    return out, float(v[n])
 
 
 def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, penalty: float = PENALTY, identity: tuple[str, ...] | list[str] = tuple(IDENTITY), rounds: int = 5, seed: int = SEED) -> Model:
-    """The model of documents given as (features, window of each word); a fifth of them only sets the threshold."""
+    """The model of documents given as (features, window of each word). A fifth of them only sets the threshold; with fewer
+    than 50, or none toxic or none clean in that fifth, all of them train it and set it."""
     rng = np.random.default_rng(seed)
     size = 1 << LOG_SIZE
-    hold = np.arange(len(texts)) % 5 == 0 if len(texts) >= 50 else np.zeros(len(texts), bool)
+    hold = np.arange(len(texts)) % 5 == 0
+    if len(texts) < 50 or not toxic[hold].any() or toxic[hold].all():
+        hold[:] = False
     held_in = np.flatnonzero(~hold)
     df = np.zeros((2, size))
     for i in held_in:
@@ -148,10 +189,11 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, penalty:
     total = np.maximum(df.sum(0), 1)
     evidence = 2 * (df[1] * np.log(np.maximum(df[1], 1e-9) / (total * share)) + df[0] * np.log(np.maximum(df[0], 1e-9) / (total * (1 - share))))
     telling = (odds > 0) & (evidence >= EVIDENCE)
-    weights = np.where(telling, odds, 0.0)
-    start = np.zeros(size)
-    model = Model(weights, -3.0, 0.0)
+    model = Model(np.where(telling, odds, 0.0), -3.0, 0.0)
+    start, bias = np.zeros(size), 0.0
     terms = term_features(list(identity)) if len(identity) else np.zeros((0, 1 + len(PREFIXES)), np.int32)
+    may = telling.copy()
+    may[terms] = True
     for _ in range(rounds):
         windows, y = [], []
         for i in held_in:
@@ -171,10 +213,9 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, penalty:
         if not len(y):
             break
         share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-        weights, bias = _fit(windows, y, share, start, terms, telling, penalty, 80)
-        model = Model(weights, bias, 0.0)
-        start = weights
-    check = np.flatnonzero(hold) if toxic[hold].any() and (1 - toxic[hold]).any() else np.arange(len(texts))
+        start, bias = _fit(windows, y, share, start, bias, terms, may, penalty)
+        model = Model(start, bias, 0.0)
+    check = np.flatnonzero(hold) if hold.any() else np.arange(len(texts))
     scores = np.array([model.windows(*texts[i]).max(initial=-np.inf) for i in check])
     model.weights = model.weights.astype(np.float32)
     model.threshold = _threshold(scores, toxic[check])
@@ -196,16 +237,14 @@ def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, seed: int = SEED, penalty: float = PENALTY, identity=tuple(IDENTITY)) -> Model:
-    """Trained on a bounded sample of labelled documents, about ``sample`` of each class, whole. Rows with a null id, text
-    or label are left out; of an id with several labels the largest counts."""
-    marks = pick(labels, id=id, toxic=toxic).where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    counts = {int(r["toxic"]): r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    part = F.lit(0.0)
-    for y, n in counts.items():
-        part = F.when(F.col("toxic") == y, min(1.0, sample / n)).otherwise(part)
-    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    chosen = F.broadcast(marks.where(draw < part))  # 2 x sample narrow rows, whatever the tables' sizes
-    rows = pick(docs, id=id, text=text).where("text IS NOT NULL").join(chosen, "id").selectExpr("CAST(id AS BIGINT) AS id", "text", "CAST(toxic AS INT) AS toxic")
+    """Trained on a bounded sample of labelled documents, at most ``sample`` of each class, whole. Rows with a null id, text
+    or label are left out, and labels other than 0 and 1; of an id with several labels the largest counts, and each of its
+    texts has it. Without any, the model finds nothing."""
+    marks = pick(labels, id=id, toxic=toxic).where("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    marks = bounded_sample(marks.where("toxic IN (0, 1)"), "toxic", ["id"], 2 * sample, seed)
+    chosen = F.broadcast(marks)  # 4 x sample narrow rows at most, whatever the tables' sizes
+    rows = pick(docs, id=id, text=text).where("text IS NOT NULL").join(chosen, "id").select("id", "text", "toxic")
+    rows = bounded_sample(rows, "toxic", ["id", "text"], sample, seed)
 
     def run(batches):
         for batch in batches:
