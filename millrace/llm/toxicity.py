@@ -216,7 +216,12 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, penalty:
         start, bias = _fit(windows, y, share, start, bias, terms, may, penalty)
         model = Model(start, bias, 0.0)
     check = np.flatnonzero(hold) if hold.any() else np.arange(len(texts))
-    scores = np.array([model.windows(*texts[i]).max(initial=-np.inf) for i in check])
+    judge = Model(model.weights.copy(), model.bias, 0.0)
+    if penalty and len(terms):
+        # no threshold may lie between the terms: each counts as their mean, so that what is left of their difference decides nothing
+        value = judge.weights[terms].sum(1)
+        np.add.at(judge.weights, terms.ravel(), np.repeat((value.mean() - value) / terms.shape[1], terms.shape[1]))
+    scores = np.array([judge.windows(*texts[i]).max(initial=-np.inf) for i in check]).round(6)
     model.weights = model.weights.astype(np.float32)
     model.threshold = _threshold(scores, toxic[check])
     return model
