@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..sources.staging import small, written
 from .features import long_form
-from .relational import hash_unit
+from .relational import folds, hash_unit
 from .trainers import TrainConfig, _run, _shards
 
 
@@ -26,7 +26,7 @@ def distances(rows: DataFrame, centers: DataFrame) -> DataFrame:
     """(id, cluster, distance): cosine distance of each point to each center; null for a zero vector."""
     norms = centers.groupBy("cluster").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("cn"))
     hit = long_form(rows).join(small(centers), "feature").groupBy("id", "cluster").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    grid = rows.select("id", V.norm("features").alias("n")).crossJoin(F.broadcast(norms))
+    grid = rows.select("id", V.norm("features").alias("n")).crossJoin(small(written(norms)))
     got = grid.join(hit, ["id", "cluster"], "left")
     return got.select("id", "cluster", (1 - F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("n") * F.col("cn"))).alias("distance"))
 
@@ -69,12 +69,21 @@ def oversample_round(rows: DataFrame, centers: DataFrame, k: int, factor: float
     return centers.unionByName(new.join(F.broadcast(known), "cluster", "left_anti"))
 
 
+def _held(centers: DataFrame, most: int = 5_000_000) -> dict[str, dict[str, float]]:
+    """Centers as dictionaries on the driver; ValueError beyond ``most`` weights."""
+    rows = centers.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"centers of more than {most} weights aren't held on the driver; set a sparsity")
+    held: dict[str, dict[str, float]] = {}
+    for r in rows:
+        held.setdefault(r["cluster"], {})[r["feature"]] = r["weight"]
+    return held
+
+
 def farthest_first(centers: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """``k`` of the centers: a seeded first, then each time the one farthest from all chosen. A few hundred centers: on the
     driver."""
-    held: dict[str, dict[str, float]] = {}
-    for r in centers.collect():
-        held.setdefault(r["cluster"], {})[r["feature"]] = r["weight"]
+    held = _held(centers)
     names = sorted(held)
     if len(names) <= k:
         return centers
@@ -160,14 +169,11 @@ def online_kmeans(rows: DataFrame, centers: DataFrame, radius: float = 1.0, iter
     held = rows.where("features IS NOT NULL AND id IS NOT NULL")
     n = _shards(TrainConfig(shard_rows=shard_rows, shards=shards), held.count())
     placed = held.select(
-        F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard"), F.lit(1).alias("kind"), F.col("id").cast("string").alias("id"),
+        folds("id", n).alias("shard"), F.lit(1).alias("kind"), F.col("id").cast("string").alias("id"),
         F.map_keys("features").alias("names"), F.map_values("features").alias("values"),
     )
     for _ in range(iters):
-        start: dict[str, dict[str, float]] = {}
-        for r in centers.collect():
-            start.setdefault(r["cluster"], {})[r["feature"]] = r["weight"]
-        shared = rows.sparkSession.sparkContext.broadcast(start)
+        shared = rows.sparkSession.sparkContext.broadcast(_held(centers))
 
         def learn(_, points, shared=shared):
             model = OnlineKMeans(shared.value, radius)

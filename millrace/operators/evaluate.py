@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import small, written
 from .relational import running_sums, union_all
 
 
@@ -116,7 +117,7 @@ def roc_curve(counts: DataFrame, *group: str) -> DataFrame:
     rates where a class is missing."""
     run = running_sums(counts, list(group), -F.col("prediction"), ["pos", "neg"])
     total = counts.groupBy(*group).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    run = run.join(F.broadcast(total), list(group)) if group else run.crossJoin(F.broadcast(total))
+    run = run.join(small(written(total)), list(group)) if group else run.crossJoin(F.broadcast(total))
     return run.select(*group, "prediction", _ratio(F.col("cum_pos"), F.col("all_pos")).alias("tpr"), _ratio(F.col("cum_neg"), F.col("all_neg")).alias("fpr"))
 
 

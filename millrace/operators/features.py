@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as TK
 from ..functions import vectors as V
-from ..sources.staging import small
+from ..sources.staging import small, written
 
 SEPARATOR = "___"
 
@@ -120,7 +120,8 @@ def keep_frequent_features(rows: DataFrame, more_than: int) -> DataFrame:
     """Instances whose vectors keep only features that more than ``more_than`` instances have. The list of features is
     broadcast while small; beyond that the vectors are exploded, joined and rebuilt."""
     kept = document_frequency(rows).where(F.col("df") > more_than).select("feature")
-    thin = rows.withColumn("nth", F.monotonically_increasing_id())
+    # written, as numbers made again by a retried task could name other rows
+    thin = written(rows.withColumn("nth", F.monotonically_increasing_id()))
     long = thin.select("nth", F.explode("features").alias("feature", "value")).join(small(kept), "feature", "left_semi")
     vec = long.groupBy("nth").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("new"))
     return thin.join(vec, "nth", "left").withColumn("features", F.coalesce("new", _empty())).drop("nth", "new")

@@ -60,12 +60,16 @@ def as_lists(neighbours: DataFrame) -> DataFrame:
     return neighbours.groupBy("id").agg(F.transform(items, lambda x: F.struct(x["id"].alias("id"), x["distance"].alias("distance"))).alias("neighbors"))
 
 
-def exact(targets: DataFrame, candidates: DataFrame, k: int, id: str = "id", vec: str = "vec") -> DataFrame:
-    """Exact neighbours by comparing all pairs, JVM-side; for tables of thousands and as the yardstick of the others."""
-    t = _clean(targets, id, vec)
-    c = _clean(candidates, id, vec).select(F.col("id").alias("neighbor_id"), F.col("vec").alias("other"))
-    pairs = t.crossJoin(c).where("id <> neighbor_id").select("id", "neighbor_id", dense_distance("vec", "other").alias("distance"))
-    return merge(pairs, k)
+def exact(targets: DataFrame, candidates: DataFrame, k: int, id: str = "id", vec: str = "vec", part: int = 8192) -> DataFrame:
+    """Exact neighbours of a set of queries: blocks of ``part`` targets against blocks of ``part`` candidates, of which each
+    gives its k nearest; what is shuffled is a block's vectors and k rows a target, never all pairs."""
+    t, c = written(_clean(targets, id, vec).withColumn("bin", F.lit(0))), written(_clean(candidates, id, vec).withColumn("bin", F.lit(0)))
+    shape = _parts(t, part, "rows").join(_parts(c, part, "columns"), "bin")
+    found = _grid(t, c, shape, k + 4, euclidean)
+    # distances of matrices lose digits by cancelling; the few that are left are worked out again
+    own, other = t.select("id", "vec"), c.select(F.col("id").alias("neighbor_id"), F.col("vec").alias("other"))
+    again = found.select("id", "neighbor_id").join(own, "id").join(other, "neighbor_id")
+    return merge(again.select("id", "neighbor_id", dense_distance("vec", "other").alias("distance")), k)
 
 
 def planes(dims: int, hashes: int, bits: int, seed: int = 0) -> np.ndarray:
@@ -183,9 +187,11 @@ def initialize_bins(rows: DataFrame, centers: int, per_point: int, max_bin: int,
     bins = written(assign_bins(rows, pivots, per_point, distance))
     crowded = bins.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > max_bin).withColumn("extra", F.ceil(F.col("n") / max_bin).cast("int"))
     rank = F.row_number().over(Window.partitionBy("bin").orderBy(hash_unit("id", seed=seed + 1), "id"))
-    more = bins.join(F.broadcast(crowded), "bin").withColumn("r", rank).where("r <= extra").select("id", "vec").dropDuplicates(["id"])
+    more = bins.join(small(written(crowded)), "bin").withColumn("r", rank).where("r <= extra").select("id", "vec").dropDuplicates(["id"])
     known = {c for c, _ in pivots}
-    return pivots + sorted((r["id"], r["vec"]) for r in more.collect() if r["id"] not in known)
+    # at most as many again as there were: the bins stay whole whatever the pivots are
+    chosen = more.orderBy(hash_unit("id", seed=seed + 1), "id").limit(max(centers, 1)).collect()
+    return pivots + sorted((r["id"], r["vec"]) for r in chosen if r["id"] not in known)
 
 
 def pivot_knn(
@@ -211,6 +217,7 @@ def pivot_knn2(
     pivots = initialize_bins(c, n, per_point, max_bin, distance, seed)
     a, b = written(assign_bins(t, pivots, per_point, distance)), assign_bins(c, pivots, per_point, distance)
     parts = a.groupBy("bin").agg((1 + F.floor(F.count("*") / max_bin)).cast("int").alias("parts"))
-    a = a.join(F.broadcast(parts), "bin").withColumn("rep", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    b = b.join(F.broadcast(parts), "bin").withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    parts = small(written(parts))
+    a = a.join(parts, "bin").withColumn("rep", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    b = b.join(parts, "bin").withColumn("rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return merge(_between(a, b, ["bin", "rep"], k, distance), k)

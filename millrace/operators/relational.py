@@ -11,8 +11,10 @@ from ..sources.staging import small, written
 
 
 def hash_unit(*columns: Column | str, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the columns and the seed alone, not on partitions."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) that depends on the columns and the seed alone, not on partitions: the first 52 bits of an MD5
+    of their texts, so that any engine can work it out."""
+    texts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *texts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def sample_by_label(df: DataFrame, probability: Column | dict, id: str = "id", label: str = "label", seed: int = 0) -> DataFrame:
@@ -36,12 +38,12 @@ def parse_class_probabilities(text: str) -> dict[str, float]:
 
 def split(df: DataFrame, id: str = "id", train_tenths: int = 8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, test) by a hash of the id."""
-    tenth = F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(10))
-    return df.where(tenth < train_tenths), df.where(tenth >= train_tenths)
+    inside = hash_unit(id, seed=seed) < train_tenths / 10
+    return df.where(inside), df.where(~inside)
 
 
 def folds(id: Column | str, n: int, salt: int = 0) -> Column:
-    return F.pmod(F.xxhash64(id, F.lit(salt)), F.lit(n)).cast("int")
+    return F.floor(hash_unit(id, seed=salt) * n).cast("int")
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, id: str) -> DataFrame:
@@ -51,8 +53,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, id: str
     return a.join(b, [key, "salt"]).drop("salt")
 
 
-def cross_tiny(df: DataFrame, tiny: DataFrame) -> DataFrame:
-    return df.crossJoin(small(tiny))
+def cross_tiny(df: DataFrame, tiny: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each row with each of ``tiny``, which is broadcast; ValueError if it has more than ``most`` rows."""
+    if tiny.limit(most + 1).count() > most:
+        raise ValueError(f"a table of more than {most} rows isn't crossed")
+    return df.crossJoin(F.broadcast(tiny))
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

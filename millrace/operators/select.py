@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import small, written
+from ..sources.staging import BROADCAST_ROWS, small, written
 from . import evaluate, linear
 from .features import long_form
 from .relational import folds, split, union_all
@@ -113,11 +113,14 @@ def random_search(
         live = [t for t, c in enumerate(configs) if c.iters > i]
         start: dict = {}
         if model is not None:
+            if model.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+                models = None  # too large for the driver: each trial is trained by itself
+                break
             for r in model.collect():
                 start.setdefault((r["trial"], r["class"]), ({}, r["epoch"]))[0][r["feature"]] = r["weight"]
         shared = instances.sparkSession.sparkContext.broadcast((configs, start))
         placed = fit.select(
-            F.explode(F.array(*[F.lit(t) for t in live])).alias("trial"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"),
+            F.explode(F.array(*[F.lit(t) for t in live])).alias("trial"), folds("id", n).alias("part"),
             F.lit(1).alias("kind"), F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"),
             F.map_keys("features").alias("names"), F.map_values("features").alias("values"),
         ).withColumn("shard", F.col("trial") * n + F.col("part"))
@@ -145,7 +148,10 @@ def random_search(
         models.append((live, model))
     name = metric or ("MSE" if kind == "regression" else "Acc (avg)")
     sign = -1.0 if name in ("MSE", "MAE", "Brier") else 1.0
-    final = [m.where(F.col("trial").isin([t for t in live if configs[t].iters == i + 1])) for i, (live, m) in enumerate(models)]
+    if models is None:
+        final = [train(fit, c, classes=classes).withColumn("trial", F.lit(t)) for t, c in enumerate(configs)]
+    else:
+        final = [m.where(F.col("trial").isin([t for t in live if configs[t].iters == i + 1])) for i, (live, m) in enumerate(models)]
     if name in ("Acc (avg)", "MSE", "MAE"):
         values = _trial_metrics(test, union_all(*final), configs, name, classes)
     else:

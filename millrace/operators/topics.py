@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import written
-from .relational import running_sums
+from .relational import hash_unit, running_sums
 
 FLOOR = 1e-8
 
@@ -42,7 +42,7 @@ def index_documents(words: DataFrame, words_idx: DataFrame) -> DataFrame:
 def random_topics(dictionary: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """(topic, word, p): 1/V with up to half more or less by a hash, normalised."""
     v = dictionary.count()
-    u = F.pmod(F.xxhash64("word", "topic", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    u = hash_unit("word", "topic", seed=seed)
     rows = dictionary.select("word", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("topic"))
     return normalize(rows.select("topic", "word", ((0.5 + u) / max(1, v)).alias("n")))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import BROADCAST_ROWS, written
-from .relational import hash_unit
+from .relational import hash_unit, parse_class_probabilities
 
 SMALL = 1e-10
 LOSSES = ("logistic_regression", "perceptron", "linear_svm", "mira", "least_squares")
@@ -50,6 +50,7 @@ class TrainConfig:
     shard_rows: int = 50_000
     shards: int | None = None
     drop_partial_batch: bool = False
+    broadcast_rows: int = BROADCAST_ROWS
     seed: int = 0
 
     def __post_init__(self):
@@ -75,11 +76,15 @@ class TrainConfig:
         out = {}
         for k, v in args.items():
             kind = str(kinds[k].type).split(" ")[0]
+            if kind == "dict" and isinstance(v, str):
+                v = parse_class_probabilities(v)
             out[k] = v if not isinstance(v, str) else v.lower() in ("1", "true", "yes") if kind == "bool" else {"int": int, "float": float}.get(kind, str)(v)
         return cls(**out)
 
     def unparse(self) -> dict[str, str]:
-        return {f.name: str(getattr(self, f.name)) for f in fields(self) if getattr(self, f.name) is not None and f.name != "class_probs"}
+        """As ``parse`` takes them; options that are unset or empty are left out."""
+        out = {f.name: str(getattr(self, f.name)) for f in fields(self) if getattr(self, f.name) is not None and f.name != "class_probs"}
+        return out | ({"class_probs": ",".join(f"{k}:{v}" for k, v in self.class_probs.items())} if self.class_probs else {})
 
 
 class Learner:
@@ -292,17 +297,17 @@ def train(instances: DataFrame, config: TrainConfig | None = None, model: DataFr
     kinds = [""] if classes is None else list(classes)
     # the features are worked out once, for the count and all passes
     flat = written(rows.select(
-        F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"),
+        hash_unit("id").alias("h"), F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"),
         F.map_keys("features").alias("names"), F.map_values("features").alias("values"),
     ))
     n = _shards(c, flat.count())
-    held = flat.select(F.pmod("h", F.lit(n)).cast("int").alias("shard"), F.lit(1).alias("kind"), "id", "label", "names", "values")
+    held = flat.select(F.floor(F.col("h") * n).cast("int").alias("shard"), F.lit(1).alias("kind"), "id", "label", "names", "values")
     spark = instances.sparkSession
     for _ in range(c.iters):
         start, table, epochs = None, None, {}
         if model is not None:
             epochs = {r["class"]: int(r["e"] or 0) for r in model.groupBy("class").agg(F.max("epoch").alias("e")).collect()}
-            if model.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            if model.limit(c.broadcast_rows + 1).count() <= c.broadcast_rows:
                 start: dict = {}
                 for r in model.select("class", "feature", "weight").collect():
                     start.setdefault(r["class"], {})[r["feature"]] = r["weight"]

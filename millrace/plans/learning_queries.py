@@ -11,7 +11,7 @@ from ..operators import features as FT
 from ..operators import linear as L
 from ..operators import select as S
 from ..operators import trainers as TR
-from ..sources.staging import written
+from ..sources.staging import small, written
 from .registry import load, query
 from .text_queries import _TOK
 
@@ -125,11 +125,7 @@ FROM d JOIN w USING (feature) WHERE weight <> 0) SELECT id, rank, feature, value
 def explain_topk(spark, sf_dir):
     long = _long(spark, sf_dir)
     m = _model(spark, sf_dir, long)
-    rows = long.join(m, "feature").where("weight <> 0")
-    from ..operators.relational import top_k
-
-    ranked = top_k(rows, ["id"], [F.desc(F.round(F.abs(F.col("value") * F.col("weight")), 9)), F.col("feature")], 5)
-    return ranked.select("id", "rank", "feature", "value", F.round("weight", 6).alias("weight"))
+    return L.explain(long, m, 5).select("id", "rank", "feature", "value", F.round("weight", 6).alias("weight"))
 
 
 @query()
@@ -170,7 +166,7 @@ m AS (SELECT id, p.label, class, sum(value * weight) AS m FROM p JOIN w USING (f
 def _centroid_model(spark, sf_dir):
     long = FT.long_form(_points(spark, sf_dir), "label")
     n = long.groupBy("label").agg(F.count_distinct("id").alias("n"))
-    sums = long.groupBy("label", "feature").agg(F.sum("value").alias("s")).join(F.broadcast(n), "label")
+    sums = long.groupBy("label", "feature").agg(F.sum("value").alias("s")).join(small(written(n)), "label")
     return written(sums.select(F.col("label").alias("class"), "feature", F.round(F.col("s") / F.col("n"), 9).alias("weight")))
 
 
@@ -267,7 +263,13 @@ def eval_multiclass_auc(spark, sf_dir):
     return E.multiclass_roc(_scores(spark, sf_dir, "one_vs_rest")).select("class", *[F.round(c, 6).alias(c) for c in ("share", "auc", "brier")])
 
 
-@query()
+@query(f"""{_MC}, k AS (SELECT c.class, a, n, tp, a / n AS share, (n - a - p + 2 * tp) / n AS acc, tp / nullif(p, 0) AS prc, tp / nullif(a, 0) AS rec, 2 * tp / nullif(a + p, 0) AS f1, auc
+  FROM c JOIN u USING (class)), bs AS (SELECT class, avg(power((label = class)::INT - score, 2)) AS brier FROM s GROUP BY class)
+SELECT stat, round(value, 6) AS value FROM (
+  SELECT unnest([class || ' Pct', class || ' AUC', class || ' Acc', class || ' F1', class || ' Prc', class || ' Rec']) AS stat, unnest([share, auc, acc, f1, prc, rec]) AS value FROM k
+  UNION ALL SELECT unnest(['AUC', 'Acc (avg)', 'F1 (avg)', 'Prc (avg)', 'Rec (avg)']), unnest([(SELECT sum(share * coalesce(auc, 0)) FROM u), sum(tp) / any_value(n),
+    sum(a * coalesce(f1, 0)) / sum(a), sum(a * coalesce(prc, 0)) / sum(a), sum(a * coalesce(rec, 0)) / sum(a)]) FROM k
+  UNION ALL SELECT 'Brier', avg(brier) FROM bs)""")
 def eval_multiclass_stats(spark, sf_dir):
     return E.multiclass_statistics(_scores(spark, sf_dir, "one_vs_rest")).withColumn("value", F.round("value", 6))
 

@@ -10,6 +10,7 @@ from ..operators import factor as FA
 from ..operators import features as FT
 from ..operators import knn as K
 from ..operators import topics as T
+from ..sources.staging import written
 from .registry import load, query
 
 
@@ -17,43 +18,54 @@ def _vecs(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
+def _queries(v):
+    """What the searches look up, of all rows: those whose id is divisible by 100."""
+    return v.where("id % 100 = 0")
+
+
 _E = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings)"
 
 
 @query(f"""WITH {_E} SELECT id, neighbor_id, rank, distance FROM (SELECT a.id, b.id AS neighbor_id, round(list_distance(a.vec, b.vec), 6) AS distance,
-row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id)::INT AS rank FROM e a JOIN e b ON a.id <> b.id) WHERE rank <= 5""")
+row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id)::INT AS rank FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id) WHERE rank <= 5""")
 def knn_exact(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    return K.exact(v, v, 5).withColumn("distance", F.round("distance", 6))
+    return K.exact(_queries(v), v, 5).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH {_E} SELECT id, neighbor_id, rank, distance FROM (SELECT a.id, b.id AS neighbor_id, round(list_distance(a.vec, b.vec), 6) AS distance,
-row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id)::INT AS rank FROM e a JOIN e b ON a.id % 2 = 0 AND b.id % 2 = 1) WHERE rank <= 3""")
+@query("""WITH q AS (SELECT c_custkey AS id, c_acctbal AS x, c_nationkey::DOUBLE AS y FROM customer WHERE c_custkey % 100 = 0),
+c AS (SELECT -s_suppkey AS id, s_acctbal AS x, s_nationkey::DOUBLE AS y FROM supplier)
+SELECT id, neighbor_id, rank, distance FROM (SELECT q.id, c.id AS neighbor_id, round(sqrt(power(q.x - c.x, 2) + power(q.y - c.y, 2)), 6) AS distance,
+row_number() OVER (PARTITION BY q.id ORDER BY sqrt(power(q.x - c.x, 2) + power(q.y - c.y, 2)), c.id)::INT AS rank FROM q CROSS JOIN c) WHERE rank <= 3""")
 def knn_two_set(spark, sf_dir):
-    v = _vecs(spark, sf_dir)
-    return K.exact(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 3).withColumn("distance", F.round("distance", 6))
+    """Customers, of whom those with an id divisible by 100 ask, and the suppliers nearest to them by balance and nation."""
+    own = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array("c_acctbal", F.col("c_nationkey").cast("double")).alias("vec"))
+    other = load(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("id"), F.array("s_acctbal", F.col("s_nationkey").cast("double")).alias("vec"))
+    return K.exact(_queries(own), other, 3).withColumn("distance", F.round("distance", 6))
 
 
 @query()
 def knn_lsh(spark, sf_dir):
-    return K.lsh_knn(_vecs(spark, sf_dir), 5, hashes=50, bits=6)
+    v = _vecs(spark, sf_dir)
+    return K.lsh_knn2(_queries(v), v, 5, hashes=50, bits=6)
 
 
 @query()
 def knn_lsh_two_set(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    return K.lsh_knn2(v, v, 3, hashes=50, bits=6)
+    return K.lsh_knn2(_queries(v), v.select((-F.col("id") - 1).alias("id"), "vec"), 3, hashes=50, bits=6)
 
 
 @query()
 def knn_pivot_cosine(spark, sf_dir):
-    return K.pivot_knn(_vecs(spark, sf_dir), 5, K.cosine)
+    v = _vecs(spark, sf_dir)
+    return K.pivot_knn2(_queries(v), v, 5, K.cosine)
 
 
 @query()
 def knn_pivot_two_set(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    return K.pivot_knn2(v, v, 3)
+    return K.pivot_knn2(_queries(v), v.select((-F.col("id") - 1).alias("id"), "vec"), 3)
 
 
 _M = "m AS (SELECT user_id AS row, event_type AS col, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"
@@ -71,9 +83,12 @@ def _purchases(spark, sf_dir):
 
 @query(f"WITH {_M} SELECT a.col AS a, b.col AS b, sum(a.value * b.value) AS value FROM m a JOIN m b USING (row) GROUP BY ALL")
 def mat_gram(spark, sf_dir):
-    m = _events(spark, sf_dir)
-    a, b = m.select("row", F.col("col").alias("a"), F.col("value").alias("x")), m.select("row", F.col("col").alias("b"), F.col("value").alias("y"))
-    return a.join(b, "row").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    """The Gram matrix of the rows' vectors over the five kinds of events."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    value = lambda k: F.coalesce(F.sum(F.when(F.col("col") == k, F.col("value"))), F.lit(0.0))
+    vecs = _events(spark, sf_dir).groupBy("row").agg(F.array(*[value(k) for k in kinds]).alias("vec"))
+    g = FA.gram(vecs, "vec", len(kinds))
+    return spark.createDataFrame([(a, b, float(g[i, j])) for i, a in enumerate(kinds) for j, b in enumerate(kinds) if g[i, j]], "a string, b string, value double")
 
 
 @query(f"WITH {_CP} SELECT row AS id, round(sum(value * (col % 7)), 4) AS x, round(sum(value), 4) AS y FROM cp GROUP BY row")
@@ -145,19 +160,21 @@ def _points(spark, sf_dir):
 
 
 _K = """p AS (SELECT vec_id AS id, i - 1 AS k, embedding[i]::DOUBLE AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM embeddings)),
-c AS (SELECT id::VARCHAR AS cluster, k, x AS y FROM p WHERE id < 8),
+c AS (SELECT label::VARCHAR AS cluster, k, round(avg(embedding[k + 1]::DOUBLE), 9) AS y FROM (SELECT *, unnest(range(0, 64)) AS k FROM embeddings) GROUP BY ALL),
 d AS (SELECT p.id, cluster, 1 - sum(x * y) / sqrt(sum(x * x)) / sqrt(sum(y * y)) AS distance FROM p JOIN c USING (k) GROUP BY ALL),
 a AS (SELECT id, cluster, distance FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cluster) = 1)"""
 
 
 def _centers(spark, sf_dir):
-    return _points(spark, sf_dir).where("id < 8").select(F.col("id").cast("string").alias("cluster"), F.explode("features").alias("feature", "weight"))
+    """The means of the labels' points."""
+    rows = load(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("cluster"), F.posexplode("embedding").alias("k", "x"))
+    means = rows.groupBy("cluster", F.col("k").cast("string").alias("feature")).agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("weight"))
+    return written(means)
 
 
-@query(f"WITH {_K} SELECT id, cluster, round(distance, 6) AS distance FROM a WHERE id >= 8")
+@query(f"WITH {_K} SELECT id, cluster, round(distance, 6) AS distance FROM a")
 def kmeans_assign(spark, sf_dir):
-    out = C.assign(_points(spark, sf_dir), _centers(spark, sf_dir)).where("id >= 8")
-    return out.withColumn("distance", F.round("distance", 6))
+    return C.assign(_points(spark, sf_dir), _centers(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"WITH {_K} SELECT cluster, k::VARCHAR AS feature, round(avg(x), 6) AS weight FROM a JOIN p USING (id) GROUP BY ALL")

@@ -135,11 +135,27 @@ def rel_running_sums(spark, sf_dir):
     return R.running_sums(rows, ["o_orderstatus"], F.col("o_orderkey"), ["n"]).select("o_orderkey", F.col("cum_n").alias("cum"))
 
 
-@query()
+def hash_sql(*columns: str, seed: int = 0) -> str:
+    """DuckDB's ``relational.hash_unit``."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(f"{c}::VARCHAR" for c in columns)})), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query(f"""SELECT event_id, event_type FROM events WHERE {hash_sql('event_id')} < CASE event_type WHEN 'click' THEN 0.5 WHEN 'error' THEN 0.1 ELSE 1 END""")
 def rel_sample_by_label(spark, sf_dir):
-    return R.sample_by_label(load(spark, sf_dir, "events"), {"click": 0.5, "error": 0.1}, "event_id", "event_type").groupBy("event_type").agg(F.count("*").alias("n"))
+    return R.sample_by_label(load(spark, sf_dir, "events"), {"click": 0.5, "error": 0.1}, "event_id", "event_type").select("event_id", "event_type")
+
 
+@query(f"SELECT doc_id, toxic FROM labels WHERE {hash_sql('doc_id', seed=3)} < CASE WHEN toxic < 0.5 THEN 0.25 ELSE 0.9 END")
+def rel_binary_sample(spark, sf_dir):
+    return R.binary_sample(load(spark, sf_dir, "labels"), 0.25, 0.9, id="doc_id", label="toxic", seed=3).select("doc_id", "toxic")
 
-@query()
+
+@query(f"SELECT floor({hash_sql('doc_id')} * 5)::INT AS fold, count(*) AS n FROM documents GROUP BY ALL")
 def xval_fold_counts(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy(R.folds("doc_id", 5).alias("fold")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT o_orderkey, {hash_sql('o_orderkey', seed=1)} < 0.8 AS training FROM orders")
+def rel_split(spark, sf_dir):
+    a, b = R.split(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 8, 1)
+    return a.withColumn("training", F.lit(True)).unionByName(b.withColumn("training", F.lit(False)))

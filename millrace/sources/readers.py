@@ -87,9 +87,18 @@ def parse_feature_line(line: Column | str) -> Column:
 
 def merge_entries(entries: Column) -> Column:
     """Map of key-value structs whose values of equal keys add up."""
-    names = lambda es: F.array_distinct(F.transform(es, lambda e: e["key"]))
-    total = lambda es, k: F.aggregate(F.filter(es, lambda e: e["key"] == k), F.lit(0.0), lambda s, e: s + e["value"])
-    return let(entries, lambda es: F.map_from_entries(F.transform(names(es), lambda k: F.struct(k.alias("key"), total(es, k).alias("value")))))
+    held = F.array_sort(entries)  # equal keys are neighbours: one pass over their runs
+
+    def runs(es: Column) -> Column:
+        starts = F.filter(F.transform(es, lambda e, i: F.when((i == 0) | (e["key"] != F.get(es, i - 1)["key"]), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.zip_with(at, F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(es))), lambda a, b: run(es, a, b)))
+
+    def run(es: Column, a: Column, b: Column) -> Column:
+        total = F.aggregate(F.slice(es, a + 1, b - a), F.lit(0.0), lambda s, e: s + e["value"])
+        return F.struct(F.get(es, a)["key"].alias("key"), total.alias("value"))
+
+    empty = F.create_map().cast("map<string,double>")
+    return let(held, lambda es: F.when(F.size(es) > 0, F.map_from_entries(runs(es))).otherwise(empty))
 
 
 def parse_mail_parts(parts: Column | str) -> Column:
@@ -118,8 +127,9 @@ def model_to_json(model: DataFrame, model_type: str, epoch: int = 0) -> DataFram
 
 def model_from_json(rows: DataFrame, json: str = "json", most_chars: int = 200_000_000) -> DataFrame:
     """(class, feature, weight, model_type, epoch) of JSON models (and their ``class`` column, if there is one).
-    Escaping slashes are dropped; models longer than ``most_chars`` or not parsable give no rows."""
-    held = rows.where(F.length(json) <= most_chars)
+    Escaping slashes are dropped; models that can't be parsed give no rows, one longer than ``most_chars`` is an error."""
+    long = F.raise_error(F.lit(f"a model has more than {most_chars} characters"))
+    held = rows.withColumn(json, F.when(F.length(json) > most_chars, long.cast("string")).otherwise(F.col(json)))
     label = F.col("class") if "class" in rows.columns else F.lit("")
     plain = F.when(F.col(json).rlike(r'^\s*\{\\"'), F.regexp_replace(json, r"\\(.)", "$1")).otherwise(F.col(json))
     got = held.select(label.alias("class"), F.from_json(plain, MODEL).alias("m"))
