@@ -220,3 +220,25 @@ def format_statistics(aggregated: DataFrame) -> str:
     rows = aggregated.orderBy("stat").collect()
     f = lambda x: "-" if x is None else f"{x:.4f}"
     return "\n".join(["stat\tmean\tstd\tmedian"] + [f"{r['stat']}\t{f(r['mean'])}\t{f(r['std'])}\t{f(r['median'])}" for r in rows])
+
+
+class Evaluation:
+    """A running evaluation of one kind: predictions are added, evaluations of other parts merged, and statistics are of all."""
+
+    def __init__(self, kind: str = "binary", predictions: DataFrame | None = None):
+        if kind not in STATISTICS:
+            raise ValueError(kind)
+        self.kind, self.predictions = kind, predictions
+
+    def add(self, predictions: DataFrame) -> "Evaluation":
+        return Evaluation(self.kind, predictions if self.predictions is None else self.predictions.unionByName(predictions))
+
+    def merge(self, other: "Evaluation") -> "Evaluation":
+        if other.kind != self.kind:
+            raise ValueError(f"{other.kind} isn't {self.kind}")
+        return self if other.predictions is None else self.add(other.predictions)
+
+    def statistics(self) -> DataFrame:
+        if self.predictions is None:
+            raise ValueError("nothing was added")
+        return STATISTICS[self.kind](self.predictions)

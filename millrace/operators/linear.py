@@ -1,7 +1,8 @@
 """Linear models as tables (class, feature, weight): losses, full-batch steps, scores, explanations, model algebra.
 
 Everything here is joins and aggregates; the sequential learners are in ``trainers``. Instances come in long form
-(id, label, feature, value), which ``features.long_form`` makes.
+(id, label, feature, value), which ``features.long_form`` makes. The model algebra (merge, rescale, threshold, set, freeze)
+works on centers of clusters (cluster, feature, weight), too.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def explain_text(explained: DataFrame) -> DataFrame:
 
 
 def _keys(model: DataFrame) -> list[str]:
-    return ["class", "feature"] if "class" in model.columns else ["feature"]
+    return [c for c in ("class", "cluster") if c in model.columns] + ["feature"]
 
 
 def merge(*models: tuple[DataFrame, float]) -> DataFrame:

@@ -59,13 +59,13 @@ def knn_lsh_two_set(spark, sf_dir):
 @query()
 def knn_pivot_cosine(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    return K.pivot_knn2(_queries(v), v, 5, K.cosine)
+    return K.pivot_knn2(_queries(v), v, 5, K.cosine, per_point=10)
 
 
 @query()
 def knn_pivot_two_set(spark, sf_dir):
     v = _vecs(spark, sf_dir)
-    return K.pivot_knn2(_queries(v), v.select((-F.col("id") - 1).alias("id"), "vec"), 3)
+    return K.pivot_knn2(_queries(v), v.select((-F.col("id") - 1).alias("id"), "vec"), 3, per_point=10)
 
 
 _M = "m AS (SELECT user_id AS row, event_type AS col, count(*)::DOUBLE AS value FROM events GROUP BY ALL)"

@@ -205,11 +205,26 @@ def test_crowded_bins_are_compared_whole(spark):
 
 
 @pytest.mark.parametrize("name", ["knn_lsh_two_set", "knn_pivot_two_set"])
-def test_two_set_searches_take_the_whole_table_on_both_sides(spark, name):
+def test_two_set_searches_compare_the_query_set_with_the_whole_table(spark, name):
     from millrace.plans import QUERIES
 
-    found = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
-    assert {r["id"] % 2 for r in found} == {r["neighbor_id"] % 2 for r in found} == {0, 1}
+    found = QUERIES[name](spark, "/root/testdata/sf0.1").collect()
+    assert {r["id"] for r in found} == set(range(0, 2000, 100)) and {r["neighbor_id"] % 2 for r in found} == {0, 1}
+    assert all(min((r["distance"], r["neighbor_id"] == -r["id"] - 1) for r in found if r["id"] == i)[0] < 1e-6 for i in range(0, 2000, 100))
+
+
+@pytest.mark.parametrize("name", ["knn_lsh", "knn_pivot_cosine"])
+def test_searches_recall_with_production_parameters(spark, name):
+    from millrace.plans import QUERIES
+
+    rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()}
+    ids, x = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)], float)
+    d = (knn.cosine if "cosine" in name else knn.euclidean)(x[ids % 100 == 0], x)
+    d[ids[ids % 100 == 0][:, None] == ids[None, :]] = np.inf
+    want = {(int(q), int(ids[j])) for q, row in zip(ids[ids % 100 == 0], d) for j in np.argsort(row)[:5]}
+    got = {(r["id"], r["neighbor_id"]) for r in QUERIES[name](spark, "/root/testdata/sf0.1").collect()}
+    print(name, len(got & want) / len(want))
+    assert len(got & want) >= 0.9 * len(want)
 
 
 def test_factorizations(spark):
@@ -297,6 +312,89 @@ def test_streams(spark, tmp_path):
     assert sessions(events, "ts", "2 minutes", "1 minute", "k").count() == 2
 
 
+def test_truncation_shrinks_small_weights():
+    c = TrainConfig(rate=0.5, examples_per_epoch=1e9, period=2, truncation_update=0.1, truncation_threshold=0.3)
+    model = Learner(c, {"small": 0.2, "tiny": -0.04, "large": 0.9})
+    for _ in range(3):  # at the third row, of epoch 2, weights below 0.3 shrink by 0.5 * 0.1
+        model.update([(1.0, {})])
+    assert abs(model.w["small"] - 0.15) < 1e-12 and "tiny" not in model.w and model.w["large"] == 0.9
+
+
+def test_large_models_learn_as_small_ones_do(spark):
+    rows = _toy(spark)
+    multi = rows.withColumn("label", F.when(F.col("label") > 0, "u").otherwise("d"))
+    for data, classes in ((rows, None), (multi, ["u", "d"])):
+        small, large = (train(data, TrainConfig(iters=3, shards=4, laplace=0.001, broadcast_rows=n), classes=classes) for n in (10**6, 0))
+        a, b = ({(r["class"], r["feature"]): r["weight"] for r in m.collect()} for m in (small, large))
+        seen = {k for k in a if abs(a[k]) > 0.02}
+        assert seen and all(abs(a[k] - b[k]) < 0.01 for k in seen)
+
+
+def test_options_round_trip():
+    c = TrainConfig(rate=0.25, optimizer="ftrl", class_probs={"a": 0.5, "b": 1.0}, iters=3, frozen=True, exponential_base=0.9)
+    assert TrainConfig.parse(c.unparse()) == c
+    with pytest.raises(ValueError):
+        TrainConfig.parse({"nothing": "1"})
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    from millrace import jobs
+
+    rows = _toy(spark).withColumn("supporting_data", F.concat(F.lit("row "), "id"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    jobs.main(["train", "--input", f"{tmp_path}/rows", "--out_dir", f"{tmp_path}/out", "--folds", "2", "--iters", "2", "--rate", "0.2"])
+    model = spark.read.parquet(f"{tmp_path}/out/model")
+    assert model.where("feature = 'up'").first()["weight"] > 0
+    again = readers.model_from_json(spark.read.json(f"{tmp_path}/out/model_json"))
+    assert {(r["feature"], r["weight"]) for r in again.collect()} == {(r["feature"], r["weight"]) for r in model.collect()}
+    stats = {r["stat"]: r["mean"] for r in readers.read_tsv(spark, f"{tmp_path}/out/statistics", "stat string, mean double, std double, median double, folds long").collect()}
+    assert stats["1-class AUC"] > 0.99 and spark.read.parquet(f"{tmp_path}/out/predictions").count() == 400
+    jobs.main(["predict", "--input", f"{tmp_path}/rows", "--model", f"{tmp_path}/out/model", "--out_dir", f"{tmp_path}/p"])
+    found = [r["value"].split("\t") for r in spark.read.text(f"{tmp_path}/p/predictions").collect()]
+    assert len(found) == 400 and all(x[1] == f"row {x[0]}" and (float(x[2]) > 0.5) == (int(x[0]) % 2 == 1) for x in found)
+    assert spark.read.parquet(f"{tmp_path}/p/explanations").count() == 400
+    jobs.main(["search", "--input", f"{tmp_path}/rows", "--out_dir", f"{tmp_path}/s", "--space", "rate=log:0.01:1;optimizer=in:elastic_net|adagrad", "--trials", "3"])
+    assert spark.read.text(f"{tmp_path}/s/trials").count() == 6
+    spark.createDataFrame([(i, j, float(1 + (i * j) % 3)) for i in range(12) for j in range(6) if (i + j) % 2], "row long, col long, value double").write.parquet(f"{tmp_path}/m")
+    for _ in range(2):
+        jobs.main(["factorize", "--input", f"{tmp_path}/m", "--out_dir", f"{tmp_path}/f", "--steps", "2", "--dimension", "3", "--row_ridge", "0.1", "--col_ridge", "0.1"])
+    whole, _ = factor.als(spark.read.parquet(f"{tmp_path}/m"), d=3, iters=4, row_ridge=0.1, col_ridge=0.1)
+    a, b = ({r["id"]: r["vec"] for r in df.collect()} for df in (whole, spark.read.parquet(f"{tmp_path}/f/u-4")))
+    assert a.keys() == b.keys() and all(abs(x - y) < 1e-9 for k in a for x, y in zip(a[k], b[k]))
+
+
+def test_wide_factors_with_hot_keys_equal_narrow_sums(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    d = 26
+    rows = spark.createDataFrame([(i, j, float(rng.integers(1, 5))) for i in range(60) for j in (0, 1 + i % 3)], "row long, col long, value double")
+    fixed = {i: rng.standard_normal(d) for i in range(60)}
+    u = spark.createDataFrame([(i, v.tolist()) for i, v in fixed.items()], "id long, vec array<double>")
+    monkeypatch.setattr(factor, "PART", 7)
+    got = {r["id"]: np.array(r["vec"]) for r in factor.als_half_step(rows, u, "row", "col", d, 0.1).collect()}
+    held = rows.collect()
+    base = 0.001 * sum(np.outer(v, v) for v in fixed.values()) + 0.1 * np.eye(d)
+    for col in range(4):
+        own = [(fixed[r["row"]], r["value"]) for r in held if r["col"] == col]
+        want = np.linalg.solve(base + sum(np.outer(v, v) for v, _ in own), 1.001 * sum(x * v for v, x in own))
+        assert np.allclose(got[col], want, atol=1e-8)
+
+
+def test_evaluations_merge(spark):
+    preds = spark.createDataFrame([(float(i % 2), (i % 7) / 7) for i in range(60)], "label double, prediction double")
+    parts = [preds.where(F.col("prediction") < 0.4), preds.where(F.col("prediction") >= 0.4)]
+    both = evaluate.Evaluation("binary").add(parts[0]).merge(evaluate.Evaluation("binary", parts[1]))
+    whole = {r["stat"]: r["value"] for r in evaluate.binary_statistics(preds).collect()}
+    assert all((v is None and whole[k] is None) or abs(v - whole[k]) < 1e-12 for k, v in ((r["stat"], r["value"]) for r in both.statistics().collect()))
+    assert "mean" in evaluate.format_statistics(evaluate.aggregate_folds(both.statistics().withColumn("fold", F.lit(0))))
+
+
+def test_large_tables_are_neither_crossed_nor_held(spark):
+    with pytest.raises(ValueError):
+        relational.cross_tiny(spark.range(3), spark.range(20), most=10)
+    with pytest.raises(ValueError):
+        cluster._held(spark.createDataFrame([("a", str(i), 1.0) for i in range(5)], "cluster string, feature string, weight double"), most=4)
+
+
 def test_entry_runs_without_the_other_subpackage():
     import subprocess
     import sys
