@@ -44,12 +44,16 @@ def replace_html_tags(s, rep: str = " ") -> Column:
     return _r(s, "<[^>]+>", rep)
 
 
+# all but a-z A-Z 0-9 . - and white space (and _), said as ranges: several times as quick as a negated class
+_OTHER = "\\x00-\\x08\\x0e-\\x1f!-,/:-@\\[-^`{-\\x{10FFFF}"
+
+
 def replace_non_alphanumeric(s, rep: str = " ") -> Column:
-    return _r(s, "[^a-zA-Z0-9. \\t\\n\\x0B\\f\\r\\-]+", rep)
+    return _r(s, f"[{_OTHER}_]+", rep)
 
 
 def replace_non_alphanumeric_underscore(s, rep: str = " ") -> Column:
-    return _r(s, "[^a-zA-Z0-9. \\t\\n\\x0B\\f\\r\\-_]+", rep)
+    return _r(s, f"[{_OTHER}]+", rep)
 
 
 def replace_non_alpha(s, rep: str = " ") -> Column:
