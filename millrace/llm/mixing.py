@@ -24,8 +24,8 @@ LEVELS = ("domain", "lang", "source")
 
 
 def words(text: Column) -> Column:
-    """Number of runs of characters other than blanks and line ends."""
-    return F.regexp_count(text, F.lit("[^ \\t\\r\\n]+")).cast("bigint")
+    """Number of runs of characters other than blanks and line ends, which are said as ranges: quicker than a negated class."""
+    return F.regexp_count(text, F.lit("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f!-\\x{10FFFF}]+")).cast("bigint")
 
 
 def source_domain(source: Column) -> Column:
