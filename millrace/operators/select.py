@@ -6,15 +6,17 @@ import math
 import random
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import BROADCAST_ROWS, small, written
 from . import evaluate, linear
+from . import kernels as K
 from .features import long_form
 from .relational import folds, split, union_all
-from .trainers import Learner, TrainConfig, _run, _shards, train
+from .trainers import TrainConfig, _shards, run_shards, train
 
 
 def predictions(instances: DataFrame, model: DataFrame, config: TrainConfig, classes: list[str] | None = None) -> DataFrame:
@@ -120,30 +122,31 @@ def random_search(
                 start.setdefault((r["trial"], r["class"]), ({}, r["epoch"]))[0][r["feature"]] = r["weight"]
         shared = instances.sparkSession.sparkContext.broadcast((configs, start))
         placed = fit.select(
-            F.explode(F.array(*[F.lit(t) for t in live])).alias("trial"), folds("id", n).alias("part"),
-            F.lit(1).alias("kind"), F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("label"),
-            F.map_keys("features").alias("names"), F.map_values("features").alias("values"),
-        ).withColumn("shard", F.col("trial") * n + F.col("part"))
+            F.posexplode(F.array(*[F.lit(t) for t in live])).alias("nth", "trial"), folds("id", n).alias("part"),
+            F.lit(1).alias("kind"), F.col("id").cast("string").alias("id"), (F.lit("") if classes is None else F.col("label")).cast("string").alias("class"),
+            (F.col("label").cast("double") if classes is None else F.lit(None).cast("double")).alias("y"),
+            F.map_keys("features").alias("names"), F.map_values("features").cast("array<double>").alias("values"),
+        ).withColumn("shard", F.col("nth") * n + F.col("part"))
 
-        def learn(shard, rows, shared=shared):
+        def learn(shard, parts, shared=shared, live=live):
             configs, start = shared.value
-            t = shard // n
-            c = configs[t]
-            learners = {k: Learner(c, *start.get((t, k), ({}, 0))) for k in kinds}
-            batch = []
-            for r in rows:
-                batch.append((r.label, dict(zip(r.names, map(float, r.values)))))
-                if len(batch) >= c.mini_batch_size:
-                    for k, one in learners.items():
-                        one.update([(float(y) if classes is None else float(y == k), x) for y, x in batch])
-                    batch = []
+            t = live[shard // n]
+            vocabulary = K.Vocabulary()
+            learners = {}
+            for k in kinds:
+                held, epoch = start.get((t, k), ({}, 0))
+                at = np.fromiter((vocabulary.ids.setdefault(f, len(vocabulary.ids)) for f in held), np.int64, len(held))
+                learners[k] = K.ArrayLearner(configs[t], epoch)
+                learners[k].grow(len(vocabulary.ids))
+                learners[k].load(at, np.fromiter(held.values(), np.float64, len(held)))
+            for _, rows in parts:
+                K.rows_into(learners, rows, vocabulary)
+            names = list(vocabulary.ids)
             for k, one in learners.items():
-                if batch:
-                    one.update([(float(y) if classes is None else float(y == k), x) for y, x in batch])
-                w = one.finish()
-                yield pd.DataFrame({"trial": [t] * len(w), "class": [k] * len(w), "feature": list(w), "weight": list(w.values()), "epoch": [one.epoch] * len(w)})
+                one.flush()
+                yield from K.table(names, *one.finish(), {"trial": (t, pa.int32()), "class": (k, pa.string()), "epoch": (one.epoch, pa.int64())})
 
-        parts = _run(placed, n * len(live), learn, "trial int, class string, feature string, weight double, epoch long")
+        parts = run_shards(placed, n * len(live), learn, "trial int, class string, feature string, weight double, epoch long")
         model = written(parts.groupBy("trial", "class", "feature").agg((F.sum("weight") / n).alias("weight"), F.round(F.avg("epoch")).cast("long").alias("epoch")))
         models.append((live, model))
     name = metric or ("MSE" if kind == "regression" else "Acc (avg)")
