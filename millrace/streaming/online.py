@@ -10,14 +10,17 @@ from pyspark.sql import types as T
 
 from ..functions.maths import sigmoid
 from ..operators.trainers import TrainConfig, train
-from ..sources.staging import BROADCAST_ROWS
+from ..sources.staging import BROADCAST_ROWS, written
 
 
 def score_stream(instances: DataFrame, model: DataFrame, model_type: str = "logistic_regression", *keep: str) -> DataFrame:
-    """(id, keep..., margin, prediction) of a (streaming) frame of instances, statelessly: the model (feature, weight), of at
-    most BROADCAST_ROWS rows, is a table that each task looks rows up in, so rows need no aggregation."""
+    """(id, keep..., margin, prediction) of a (streaming) frame of instances. A model (feature, weight) of at most
+    BROADCAST_ROWS rows is a table that each task looks rows up in, statelessly. A larger one is joined: a plain frame and
+    a micro-batch (``foreachBatch``) take any; a streaming frame, whose rows can't be put together again without state, doesn't."""
     if model.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("the model is too large for a stream; threshold it first")
+        if instances.isStreaming:
+            raise ValueError("the model is too large to score a stream without state; score its micro-batches with foreachBatch")
+        return _score_joined(instances, model, model_type, *keep)
     held = instances.sparkSession.sparkContext.broadcast({r["feature"]: r["weight"] for r in model.select("feature", "weight").collect()})
     rows = instances.select("id", *keep, F.map_keys("features").alias("names"), F.map_values("features").alias("values"))
 
@@ -33,6 +36,16 @@ def score_stream(instances: DataFrame, model: DataFrame, model_type: str = "logi
     return out.withColumn("prediction", F.col("margin") if model_type == "least_squares" else sigmoid(F.col("margin")))
 
 
+def _score_joined(instances: DataFrame, model: DataFrame, model_type: str, *keep: str) -> DataFrame:
+    """As ``score_stream``, a row for each instance even where ids repeat: rows are numbered, and only numbers and products shuffle."""
+    # written, as numbers made again by a retried task could name other rows
+    held = written(instances.select("id", *keep, "features").withColumn("nth", F.monotonically_increasing_id()))
+    hit = held.select("nth", F.explode("features").alias("feature", "value")).join(model.select("feature", "weight"), "feature")
+    margins = hit.groupBy("nth").agg(F.sum(F.col("value") * F.col("weight")).alias("margin"))
+    out = held.select("nth", "id", *keep).join(margins, "nth", "left").select("id", *keep, F.coalesce("margin", F.lit(0.0)).alias("margin"))
+    return out.withColumn("prediction", F.col("margin") if model_type == "least_squares" else sigmoid(F.col("margin")))
+
+
 class OnlineModel:
     """A model that micro-batches update: ``stream.writeStream.foreachBatch(OnlineModel(config)).start()``."""
 
