@@ -115,3 +115,19 @@ def test_builders_of_odd_documents(spark, tmp_path):
     docs = [(1, "", "en", "s", 0), (2, "ab", None, "s", 2), (3, None, "fr", "s", None), (4, "x", "de", "s", 1), (4, "xyz", "de", "t", 3), (-7, "q", "", "s", 1)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     _agrees(spark, tmp_path, "feat_builders")
+
+
+def test_a_step_from_nothing_joins_no_rows(spark):
+    """Only the count of instances is joined, not each of their features."""
+    long = long_form(_rows(spark), "label")
+    for optimizer in ("elastic_net", "adagrad", "ftrl"):
+        step = linear.batch_step(long, "logistic_regression", optimizer)
+        assert step._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+        zero = spark.createDataFrame([("none", 1.0)], "feature string, weight double")
+        want = _pairs(linear.batch_step(long, "logistic_regression", optimizer, model=zero))
+        got = _pairs(step)
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in got) and set(want) - set(got) <= {"none"}
+
+
+def _pairs(model):
+    return {r["feature"]: r["weight"] for r in model.collect()}
