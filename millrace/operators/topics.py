@@ -5,14 +5,16 @@ from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import written
+from ..sources.staging import small, written
 from .relational import hash_unit, running_sums
 
 FLOOR = 1e-8
+#: Documents whose topics are inferred at a time.
+DOCUMENTS = 1000
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -66,30 +68,54 @@ def e_step(words: DataFrame, topics: DataFrame, alpha: float = 0.1, tolerance: f
     gamma starts at N/K + alpha and is updated until its square change is below ``tolerance``. Words come with their
     topic probabilities by a join, so no task needs the whole topic table."""
     k = topics.select("topic").distinct().count()
-    per_word = topics.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("topic", "p"))).alias("p"))
-    rows = words.groupBy("doc", "word").agg(F.sum("n").cast("double").alias("n")).join(per_word, "word")
     kind = words.schema["doc"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word")
-        p = np.full((len(pdf), k), FLOOR)
-        for i, m in enumerate(pdf["p"]):
-            for t, v in (m.items() if isinstance(m, dict) else m):
-                p[i, int(t)] = max(v, FLOOR)
-        n = pdf["n"].to_numpy()
-        gamma = np.full(k, alpha + n.sum() / k)
-        for _ in range(most):
-            phi = p * np.exp(digamma(gamma))[None, :]
-            phi /= phi.sum(1, keepdims=True)
-            new = alpha + (n[:, None] * phi).sum(0)
-            done = ((new - gamma) ** 2).sum() < tolerance
-            gamma = new
-            if done:
-                break
-        r, t = np.repeat(np.arange(len(pdf)), k), np.tile(np.arange(k), len(pdf))
-        return pd.DataFrame({"doc": pdf["doc"].to_numpy()[r], "topic": t, "gamma": gamma[t], "word": pdf["word"].to_numpy()[r], "n": n[r], "phi": phi.ravel()})
-
-    return rows.groupBy("doc").applyInPandas(run, f"doc {kind}, topic int, gamma double, word string, n double, phi double")
+    def run(batches):
+        for doc, at, word, n, gamma, phi in _inferred(batches, k, alpha, tolerance, most):
+            r, t = pa.array(np.repeat(np.arange(len(n)), k)), np.tile(np.arange(k, dtype=np.int32), len(n))
+            columns = [doc.take(pa.array(at)).take(r), pa.array(t), pa.array(gamma[at].ravel()), word.take(r), pa.array(np.repeat(n, k)), pa.array(phi.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "topic", "gamma", "word", "n", "phi"])
+
+    rows = words.groupBy("doc", "word").agg(F.sum("n").cast("double").alias("n"))
+    return _documents(rows, topics, k).mapInArrow(run, f"doc {kind}, topic int, gamma double, word string, n double, phi double")
+
+
+def _documents(rows: DataFrame, topics: DataFrame, k: int) -> DataFrame:
+    """(doc, words): a document's words in their order, with n and the probability in each topic."""
+    per_word = topics.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct(F.col("topic").cast("int"), "p"))).alias("m"))
+    floor = F.lit(FLOOR)
+    p = F.array(*[F.greatest(F.coalesce(F.try_element_at("m", F.lit(t)), floor), floor) for t in range(k)])
+    held = rows.join(small(per_word.select("word", p.alias("p"))), "word")
+    return held.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("word", "n", "p"))).alias("words"))
+
+
+def _inferred(batches, k: int, alpha: float, tolerance: float, most: int):
+    """(documents, document of each word, words, n, gamma, phi) of a few documents at a time; all of them take a step at
+    once, and each stays as it is when its own change is small."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, DOCUMENTS):
+            b = whole.slice(i, DOCUMENTS)
+            lists = b.column("words")
+            at = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            word, n, p = lists.flatten().flatten()
+            n = n.to_numpy(zero_copy_only=False)
+            p = p.flatten().to_numpy(zero_copy_only=False).reshape(len(n), k)
+            gamma = np.repeat(alpha + np.bincount(at, n, b.num_rows)[:, None] / k, k, axis=1)
+            phi, live, w = np.zeros_like(p), np.ones(b.num_rows, bool), np.arange(len(n))
+            for _ in range(most):
+                e = np.zeros_like(gamma)
+                e[live] = np.exp(digamma(gamma[live]))
+                part = p[w] * e[at[w]]
+                part /= part.sum(1, keepdims=True)
+                phi[w] = part
+                new = alpha + np.stack([np.bincount(at[w], n[w] * part[:, t], b.num_rows) for t in range(k)], 1)
+                done = ((new - gamma) ** 2).sum(1) < tolerance
+                gamma[live] = new[live]
+                live &= ~done
+                if not live.any():
+                    break
+                w = w[live[at[w]]]
+            yield b.column("doc"), at, word, n, gamma, phi
 
 
 def topic_proportions(e: DataFrame) -> DataFrame:
@@ -119,9 +145,19 @@ def merge_statistics(*parts: DataFrame) -> DataFrame:
 
 def fit(words: DataFrame, k: int, iters: int = 10, alpha: float = 0.1, seed: int = 0) -> DataFrame:
     """(topic, word, p) after ``iters`` rounds of E- and M-steps from random topics."""
-    topics = written(random_topics(words.select("word").distinct(), k, seed))
+    held = written(words.groupBy("doc", "word").agg(F.sum("n").cast("double").alias("n")))
+    topics = written(random_topics(held.select("word").distinct(), k, seed))
+
+    def run(batches):
+        """A word's sums over a few documents."""
+        for _, _, word, n, _, phi in _inferred(batches, k, alpha, 1e-3, 100):
+            coded = word.dictionary_encode()
+            at, v = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+            sums = np.stack([np.bincount(at, n * phi[:, t], v) for t in range(k)])
+            columns = [pa.array(np.repeat(np.arange(k, dtype=np.int32), v)), pa.concat_arrays([coded.dictionary] * k), pa.array(sums.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, ["topic", "word", "n"])
+
     for _ in range(iters):
-        topics = written(normalize(statistics(e_step(words, topics, alpha))))
+        parts = _documents(held, topics, k).mapInArrow(run, "topic int, word string, n double")
+        topics = written(normalize(merge_statistics(parts)))
     return topics
-
-

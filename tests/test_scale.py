@@ -131,3 +131,42 @@ def test_a_step_from_nothing_joins_no_rows(spark):
 
 def _pairs(model):
     return {r["feature"]: r["weight"] for r in model.collect()}
+
+
+def test_documents_infer_together_as_they_do_alone():
+    from millrace.operators import topics
+
+    rng = np.random.default_rng(4)
+    docs, k = [rng.integers(1, 9, rng.integers(1, 30)).astype(float) for _ in range(40)], 3
+    probs = [rng.random((len(n), k)) for n in docs]
+    words = [[{"word": f"w{i}", "n": x, "p": p.tolist()} for i, (x, p) in enumerate(zip(n, ps))] for n, ps in zip(docs, probs)]
+    kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.float64()), ("p", pa.list_(pa.float64()))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(words, kind)], ["doc", "words"])
+    _, at, _, _, gammas, phis = next(topics._inferred([batch], k, 0.1, 1e-3, 100))
+    for i, (n, p) in enumerate(zip(docs, probs)):
+        gamma = np.full(k, 0.1 + n.sum() / k)
+        for _ in range(100):
+            phi = p * np.exp(topics.digamma(gamma))[None, :]
+            phi /= phi.sum(1, keepdims=True)
+            new = 0.1 + (n[:, None] * phi).sum(0)
+            done, gamma = ((new - gamma) ** 2).sum() < 1e-3, new
+            if done:
+                break
+        assert np.allclose(gammas[i], gamma, atol=1e-9) and np.allclose(phis[at == i], phi, atol=1e-9)
+
+
+def test_neighbours_by_blocks_keep_ties_and_memory():
+    from millrace.operators import knn
+
+    rng = np.random.default_rng(5)
+    ids, vecs = np.arange(300), rng.integers(0, 3, (300, 2)).astype(float)  # many equal distances
+    d = knn.euclidean(vecs, vecs)
+    shapes = []
+
+    def distance(a, b):
+        shapes.append((len(a), len(b)))
+        return knn.euclidean(a, b)
+
+    got = knn.nearest(ids, vecs, ids, vecs, 5, distance, chunk=64, block=32)
+    want = [(i, j) for i in range(300) for j in sorted((x for x in range(300) if x != i), key=lambda x: (round(d[i, x], 9), x))[:5]]
+    assert list(zip(got["id"], got["neighbor_id"])) == want and max(b for _, b in shapes) == 32 and max(a for a, _ in shapes) == 64
