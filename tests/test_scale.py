@@ -170,3 +170,42 @@ def test_neighbours_by_blocks_keep_ties_and_memory():
     got = knn.nearest(ids, vecs, ids, vecs, 5, distance, chunk=64, block=32)
     want = [(i, j) for i in range(300) for j in sorted((x for x in range(300) if x != i), key=lambda x: (round(d[i, x], 9), x))[:5]]
     assert list(zip(got["id"], got["neighbor_id"])) == want and max(b for _, b in shapes) == 32 and max(a for a, _ in shapes) == 64
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_blocks_multiply_as_the_whole_matrix(spark, monkeypatch, kind):
+    """In blocks of any size, with rows of several chunks and keys that have no vector; entries and vectors meet without moving entries."""
+    from millrace.operators import factor
+
+    rng = np.random.default_rng(6)
+    a = np.where(rng.random((40, 25)) < 0.3, rng.random((40, 25)), 0.0)
+    at = [(int(i) - 20, int(j) + 7, float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+    matrix = spark.createDataFrame(at, "row long, col long, value double").select(F.col("row").cast(kind), F.col("col").cast(kind), "value")
+    x = rng.random((25, 3))
+    x[3] = 0
+    vectors = spark.createDataFrame([(j + 7, x[j].tolist()) for j in range(25) if j != 3], "id long, vec array<double>").select(F.col("id").cast(kind), "vec")
+    monkeypatch.setattr(factor, "CHUNK", 5)
+    for entries in (10**6, 20):
+        monkeypatch.setattr(factor, "BLOCK_ENTRIES", entries)
+        blocks = factor.Blocks(matrix)
+        assert blocks.n["row"] * blocks.n["col"] * entries >= len(at)
+        got = blocks.multiply(vectors, "col", "row", 3)
+        assert {int(r["id"]): r["vec"] for r in got.collect()} == {i - 20: pytest.approx((a[i] @ x).tolist(), abs=1e-12) for i in range(40) if (a[i] * (x.sum(1) > 0)).any()}
+    wide = factor.als_half_step(matrix, vectors, "col", "row", 3, 0.1)
+    cut = factor.als_half_step(blocks, vectors, "col", "row", 3, 0.1)
+    want = {r["id"]: r["vec"] for r in wide.collect()}
+    assert {r["id"]: r["vec"] for r in cut.collect()} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(cell") == 1 and "Bucketed: true" in plan
+
+
+def test_fold_in_reads_its_matrix_once(spark, tmp_path, monkeypatch):
+    """The purchases were worked out anew for each of the steps."""
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, 10), (2, 11), (3, 10)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 5, 2.0), (1, 5, 1.0), (2, 6, 4.0), (3, 7, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("ls_foldin", "ls_foldin_binary"):
+        assert "lineitem" not in str(entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan())
+        _agrees(spark, tmp_path, name)
