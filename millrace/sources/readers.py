@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as _html
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,22 +61,32 @@ def parse_feature_line(line: Column | str) -> Column:
     empty = F.array().cast("array<struct<key:string,value:double>>")
 
     def features(section: Column) -> Column:
-        return let(F.split(section, "\\s+"), of_words)
-
-    def of_words(words: Column) -> Column:
-        first = F.get(words, F.lit(0))
-        ns = F.when(first.rlike("^.+:.+$"), F.regexp_extract(first, "^(.+):(.+)$", 1)).otherwise(first)
-
+        return let(F.split(section, "\\s+"), lambda words: let(namespace(F.get(words, F.lit(0))), lambda ns: of_words(words, ns)))
+
+    def cut_at_colon(w: Column, name: Callable[[Column], Column], value: Callable[[Column], Column]) -> tuple[Column, Column]:
+        """``name`` and ``value`` of the parts around the last colon that has something on both sides, null without one. A
+        pattern is searched only where the text ends with a colon or has line ends of Unicode."""
+        tail = F.substring_index(w, ":", -1)
+        room = F.length(w) - F.length(tail)
+        odd = (tail == "") | w.rlike("[\\x{85}\\x{2028}\\x{2029}]")
+        pair = w.rlike("^.+:.+$")
+        split = lambda plain, group: F.when(odd, F.when(pair, F.regexp_extract(w, "^(.+):(.+)$", group))).when(room > 1, plain)
+        return name(split(F.left(w, room - 1), 1)), value(split(tail, 2))
+
+    def namespace(first: Column) -> Column:
+        return F.when(F.instr(first, ":") == 0, first).otherwise(F.coalesce(cut_at_colon(first, lambda n: n, lambda v: v)[0], first))
+
+    def of_words(words: Column, ns: Column) -> Column:
         def feature(w: Column) -> Column:
-            pair = w.rlike("^.+:.+$")
-            name = F.when(pair, F.regexp_extract(w, "^(.+):(.+)$", 1)).otherwise(w)
-            value = F.when(pair, F.regexp_extract(w, "^(.+):(.+)$", 2).try_cast("double")).otherwise(F.lit(1.0))
-            return F.struct(F.when(ns == "", name).otherwise(F.concat(ns, F.lit("___"), name)).alias("key"), value.alias("value"))
+            name, value = cut_at_colon(w, lambda n: F.coalesce(n, w), lambda v: F.when(v.isNull(), F.lit(1.0)).otherwise(v.try_cast("double")))
+            key = lambda n: F.when(ns == "", n).otherwise(F.concat(ns, F.lit("___"), n))
+            plain = F.struct(key(w).alias("key"), F.lit(1.0).alias("value"))
+            return F.when(F.instr(w, ":") == 0, plain).otherwise(F.struct(key(name).alias("key"), value.alias("value")))
 
         rest = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: w != "")
         return F.filter(F.transform(rest, feature), lambda e: e["value"].isNotNull())
 
-    sections = F.slice(F.split(body, "\\|"), 2, F.greatest(F.size(F.split(body, "\\|")) - 1, F.lit(0)))
+    sections = let(F.split(body, "\\|"), lambda s: F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))))
     entries = F.aggregate(F.transform(sections, features), empty, lambda a, b: F.concat(a, b))
     return F.struct(
         F.get(head, F.lit(0)).alias("label"),
@@ -87,7 +98,7 @@ def parse_feature_line(line: Column | str) -> Column:
 
 def merge_entries(entries: Column) -> Column:
     """Map of key-value structs whose values of equal keys add up."""
-    held = F.array_sort(entries)  # equal keys are neighbours: one pass over their runs
+    held = F.sort_array(entries)  # equal keys are neighbours: one pass over their runs
 
     def runs(es: Column) -> Column:
         starts = F.filter(F.transform(es, lambda e, i: F.when((i == 0) | (e["key"] != F.get(es, i - 1)["key"]), i)), lambda i: i.isNotNull())

@@ -209,3 +209,18 @@ def test_fold_in_reads_its_matrix_once(spark, tmp_path, monkeypatch):
     for name in ("ls_foldin", "ls_foldin_binary"):
         assert "lineitem" not in str(entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan())
         _agrees(spark, tmp_path, name)
+
+
+def test_features_are_worked_out_once(spark):
+    """No filter that Spark infers of an exploded expression, or pushes below it, repeats the expression."""
+    from millrace.functions import tokens
+    from millrace.plans import QUERIES
+
+    texts = spark.createDataFrame([(1, 1.0, "a b a"), (2, 0.0, ""), (3, 1.0, None)], "id long, label double, text string")
+    rows = texts.select("id", "label", tokens.counts(F.split(F.lower("text"), " ")).alias("features"))
+    frames = [long_form(rows, "label"), QUERIES["vw_parse"](spark, "/root/testdata/sf0.001"), QUERIES["seq_ngrams_topk"](spark, "/root/testdata/sf0.001")]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and ("split(" in line or "aggregate(" in line)]
+    assert {(r["id"], r["feature"], r["value"]) for r in frames[0].collect()} == {(1, "a", 2.0), (1, "b", 1.0), (2, "", 1.0)}
+    assert {r["feature"] for r in train(rows, TrainConfig()).collect()} == {"a", "b", ""}
