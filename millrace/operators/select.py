@@ -105,7 +105,8 @@ def random_search(
     kind = kind or ("multiclass" if classes else "regression" if base.model == "least_squares" else "binary")
     settings = trial_settings(space, trials, seed)
     configs = [replace(base, **s) for s in settings]
-    fit, test = split(written(instances.where("label IS NOT NULL AND features IS NOT NULL")))
+    # what is missing is told after the features are written, else they are worked out once more for it
+    fit, test = split(written(instances.where("label IS NOT NULL")).where("features IS NOT NULL"))
     kinds = [""] if classes is None else list(classes)
     fit = fit if classes is None else fit.where(F.col("label").isin(classes))
     n = _shards(base, fit.count())
