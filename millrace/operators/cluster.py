@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..sources.staging import small, written
+from ..sources.staging import small, splits, written
 from .features import long_form
 from .relational import folds, hash_unit
 from .trainers import TrainConfig, _run, _shards
@@ -166,12 +166,14 @@ class OnlineKMeans:
 
 def online_kmeans(rows: DataFrame, centers: DataFrame, radius: float = 1.0, iters: int = 1, shard_rows: int = 50_000, shards: int | None = None) -> DataFrame:
     """(cluster, feature, weight): one sequential pass in each hash shard, shards' centers averaged, ``iters`` times."""
-    held = rows.where("features IS NOT NULL AND id IS NOT NULL")
+    held = rows.where("features IS NOT NULL AND id IS NOT NULL").select(
+        "id", F.map_keys("features").alias("names"), F.map_values("features").alias("values")
+    )
+    held = written(held, copies=1)
     n = _shards(TrainConfig(shard_rows=shard_rows, shards=shards), held.count())
     placed = held.select(
-        folds("id", n).alias("shard"), F.lit(1).alias("kind"), F.col("id").cast("string").alias("id"),
-        F.map_keys("features").alias("names"), F.map_values("features").alias("values"),
-    )
+        folds("id", n).alias("shard"), F.lit(1).alias("kind"), F.col("id").cast("string").alias("id"), "names", "values"
+    )
     for _ in range(iters):
         shared = rows.sparkSession.sparkContext.broadcast(_held(centers))
 
@@ -182,8 +184,9 @@ def online_kmeans(rows: DataFrame, centers: DataFrame, radius: float = 1.0, iter
             for k, c in model.centers.items():
                 yield pd.DataFrame({"cluster": [k] * len(c), "feature": list(c), "weight": list(c.values())})
 
-        parts = _run(placed, n, learn, "cluster string, feature string, weight double")
-        centers = written(parts.groupBy("cluster", "feature").agg((F.sum("weight") / n).alias("weight")).where(f"abs(weight) >= {V.SMALL}"))
+        with splits(rows.sparkSession):
+            parts = _run(placed, n, learn, "cluster string, feature string, weight double")
+            centers = written(parts.groupBy("cluster", "feature").agg((F.sum("weight") / n).alias("weight")).where(f"abs(weight) >= {V.SMALL}"))
     return centers
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import BROADCAST_ROWS, small, written
+from ..sources.staging import BROADCAST_ROWS, small, splits, written
 from . import evaluate, linear
 from . import kernels as K
 from .features import long_form
@@ -106,7 +106,7 @@ def random_search(
     settings = trial_settings(space, trials, seed)
     configs = [replace(base, **s) for s in settings]
     # what is missing is told after the features are written, else they are worked out once more for it
-    fit, test = split(written(instances.where("label IS NOT NULL")).where("features IS NOT NULL"))
+    fit, test = split(written(instances.where("label IS NOT NULL"), copies=trials).where("features IS NOT NULL"))
     kinds = [""] if classes is None else list(classes)
     fit = fit if classes is None else fit.where(F.col("label").isin(classes))
     n = _shards(base, fit.count())
@@ -147,8 +147,9 @@ def random_search(
                 one.flush()
                 yield from K.table(names, *one.finish(), {"trial": (t, pa.int32()), "class": (k, pa.string()), "epoch": (one.epoch, pa.int64())})
 
-        parts = run_shards(placed, n * len(live), learn, "trial int, class string, feature string, weight double, epoch long")
-        model = written(parts.groupBy("trial", "class", "feature").agg((F.sum("weight") / n).alias("weight"), F.round(F.avg("epoch")).cast("long").alias("epoch")))
+        with splits(instances.sparkSession, len(live)):
+            parts = run_shards(placed, n * len(live), learn, "trial int, class string, feature string, weight double, epoch long")
+            model = written(parts.groupBy("trial", "class", "feature").agg((F.sum("weight") / n).alias("weight"), F.round(F.avg("epoch")).cast("long").alias("epoch")))
         models.append((live, model))
     name = metric or ("MSE" if kind == "regression" else "Acc (avg)")
     sign = -1.0 if name in ("MSE", "MAE", "Brier") else 1.0

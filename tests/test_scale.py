@@ -224,3 +224,41 @@ def test_features_are_worked_out_once(spark):
         assert not [line for line in plan.splitlines() if "Filter" in line and ("split(" in line or "aggregate(" in line)]
     assert {(r["id"], r["feature"], r["value"]) for r in frames[0].collect()} == {(1, "a", 2.0), (1, "b", 1.0), (2, "", 1.0)}
     assert {r["feature"] for r in train(rows, TrainConfig()).collect()} == {"a", "b", ""}
+
+
+@pytest.mark.parametrize("job", ["train", "search", "means"])
+def test_what_a_task_sends_to_the_shards_is_bounded(spark, monkeypatch, job):
+    """A task held all rows of a split of 128 MB until they were sent."""
+    from millrace.operators import cluster, select, trainers
+    from millrace.sources import staging
+
+    key, most = "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(staging, "SPLIT_BYTES", 1 << 14, raising=False)
+    for module, name in ((trainers, "run_shards"), (select, "run_shards"), (cluster, "_run")):
+
+        def watched(placed, n, learn, schema, run=getattr(module, name)):
+            most.append(placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+            return run(placed, n, learn, schema)
+
+        monkeypatch.setattr(module, name, watched)
+    features = F.create_map(F.lit("a"), F.rand(1), F.lit("b"), F.rand(2))
+    rows = spark.range(20_000).coalesce(1).select("id", (F.col("id") % 2).cast("double").alias("label"), features.alias("features"))
+    if job == "train":
+        train(rows, TrainConfig(iters=2))
+    elif job == "search":
+        select.random_search(rows, {"rate": select.Uniform(0.1, 1.0)}, trials=4)
+    else:
+        cluster.online_kmeans(rows, cluster.initial_centers(rows, 2))
+    assert most and max(most) < 2_500 and spark.conf.get(key) == before
+
+
+def test_rows_that_share_an_id_learn_in_one_order(spark):
+    """Line items share ids; where rows of one id were ordered by how they came, the model depended on splits."""
+    rng = random.Random(5)
+    rows = [(i // 4, rng.random() * 5, {"a": rng.random(), "b": 1.0}) for i in range(800)]
+    got = []
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "id long, label double, features map<string,double>").coalesce(1)
+        got.append(_weights(train(frame, TrainConfig(model="least_squares", rate=0.05))))
+    assert got[0] == got[1]
